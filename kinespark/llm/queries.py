@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hmm, linecrf, mixing, pii, purisk, simhash, toxicity
+from . import chat, hilbert, hmm, linecrf, mixing, pii, purisk, simhash, toxicity
 from .common import crc_mod, map_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,12 @@ def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.apply_rules(docs, linecrf.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hilbert.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 @query
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
