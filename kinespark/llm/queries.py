@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hilbert, hmm, linecrf, mixing, pii, purisk, simhash, toxicity
+from . import chat, hilbert, hmm, linecrf, mixing, pieces, pii, purisk, simhash, toxicity
 from .common import crc_mod, map_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,27 @@ def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.apply_rules(docs, linecrf.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every whole text: digests of the ids and whether the text came back."""
+    model = pieces.load()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("original")), model)
+    both = coded.withColumn("kept_ids", F.col("ids"))
+    decoded = pieces.decode(both, model)
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(1)
+        at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4")
+        back = [d == (o or "").replace(pieces.SPACE, " ") for o, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array([_sha(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]), pa.array(back)],
+            ["doc_id", "n_pieces", "ids_sha256", "round_trip"],
+        )
+
+    rows = decoded.select(F.col("doc_id").cast("long").alias("doc_id"), "kept_ids", "original", "text")
+    return map_batches(rows, digest, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
+
+
 @query
 def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hilbert.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
