@@ -1,10 +1,482 @@
-"""Every registered query and its DuckDB SQL."""
+"""Every registered query and its DuckDB SQL.
+
+The rules run on recordings; here they run on the driver's tables. Users of ``events`` stand for
+episodes and event types for topics; labels of ``embeddings`` stand for episodes of vectors;
+suppliers of ``lineitem`` for episodes of a few numeric channels.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.series import micros, row_pos
+from ..operators import duplication, frames, manifest, messages, numeric, temporal
+from . import report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+HOUR = 3_600_000_000
+
+_E = """e AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS row_pos,
+  lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS pt FROM events)"""
+_C = """c AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row_pos,
+  lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS pt FROM events)"""
+_L = """l AS (SELECT label, vec_id, i - 1 AS dim, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i))"""
+
+
+def rule(sql: str):
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        ORACLE[fn.__name__] = sql
+        return fn
+
+    return keep
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").withColumn("t", micros("ts"))
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").select("label", "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+
+
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    dims = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    return _t(spark, d, "lineitem").select("l_suppkey", F.posexplode(dims).alias("dim", "x"))
+
+
+_S = """s AS (SELECT l_suppkey, i - 1 AS dim, [l_quantity, l_extendedprice, l_discount, l_tax][i]::DOUBLE AS x FROM lineitem, range(1, 5) r(i))"""
+
+
+# --- temporal --------------------------------------------------------------------------------
+
+
+@rule(f"WITH {_E} SELECT user_id, row_pos, t - pt AS delta FROM e WHERE t - pt <= 0")
+def temporal_monotonic(spark, d):
+    return temporal.monotonic(_events(spark, d), "user_id", "event_id", "t")
+
+
+@rule(f"WITH {_E} SELECT user_id, row_pos, t - pt AS delta FROM e WHERE t - pt > 0 AND abs(t - pt - {8 * HOUR}) > 0.9 * {8 * HOUR}")
+def temporal_sampling_interval(spark, d):
+    return temporal.sampling_interval(_events(spark, d), "user_id", "event_id", "t", 8 * HOUR, 0.9)
+
+
+@rule(f"""WITH {_E}, g AS (SELECT user_id, row_pos, t - pt AS delta, row_pos - row_number() OVER (PARTITION BY user_id ORDER BY row_pos) AS run FROM e WHERE t - pt > {10 * HOUR})
+SELECT user_id, min(row_pos) AS "start", max(row_pos) AS "end", count(*) AS "count", max(delta) AS longest FROM g GROUP BY user_id, run""")
+def temporal_max_gap(spark, d):
+    return temporal.max_gap(_events(spark, d), "user_id", "event_id", "t", 10 * HOUR)
+
+
+@rule("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS row_pos, CASE WHEN value >= 1 THEN value END AS v,
+  CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS k FROM events)
+SELECT user_id, row_pos, 'k' AS stream FROM e WHERE k IS NULL OR k = '' UNION ALL SELECT user_id, row_pos, 'v' FROM e WHERE v IS NULL""")
+def temporal_stream_overlap(spark, d):
+    e = _events(spark, d).withColumn("v", F.when(F.col("value") >= 1, F.col("value"))).withColumn("k", F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")))
+    return temporal.stream_overlap(e, "user_id", "event_id", ["k", "v"])
+
+
+@rule("""SELECT l_linenumber, count(*) AS n, sum(epoch_us(l_shipdate) - epoch_us(o_orderdate))::BIGINT AS total_delay
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE abs(epoch_us(l_shipdate) - epoch_us(o_orderdate)) > 31536000000000 GROUP BY l_linenumber""")
+def temporal_observation_action_delay(spark, d):
+    """Lines shipped over a year away from their order, by line number: the rule after an equi-join."""
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", micros("l_shipdate").alias("b"))
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), micros("o_orderdate").alias("a"))
+    late = temporal.delay(lines.join(orders, "l_orderkey").withColumn("id", F.monotonically_increasing_id()), "l_linenumber", "id", "a", "b", 365 * 24 * HOUR)
+    return late.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("delay").alias("total_delay"))
+
+
+@rule(f"""WITH f AS (SELECT user_id, arg_min(epoch_us(ts), event_id)::DOUBLE AS first FROM events GROUP BY user_id)
+SELECT user_id, first, (SELECT median(first) FROM f) AS usual FROM f WHERE abs(first - (SELECT median(first) FROM f)) > {6 * HOUR}""")
+def temporal_episode_start(spark, d):
+    return temporal.episode_start(_events(spark, d), "user_id", "event_id", "t", 6 * HOUR)
+
+
+@rule(f"""WITH f AS (SELECT user_id, arg_min(epoch_us(ts), event_id) AS a, arg_max(epoch_us(ts), event_id) AS b, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, n, (b - a - (n - 1) * {10 * HOUR})::DOUBLE AS drift FROM f WHERE n >= 2 AND abs(b - a - (n - 1) * {10 * HOUR}) > {50 * HOUR}""")
+def temporal_clock_drift(spark, d):
+    return temporal.clock_drift(_events(spark, d), "user_id", "event_id", "t", 10 * HOUR, 5.0)
+
+
+_LAGS = " UNION ALL ".join(
+    f"SELECT user_id, {-k} AS lag, a, {'lag' if k >= 0 else 'lead'}(s, {abs(k)}) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM v WHERE a IS NOT NULL" for k in range(-3, 4)
+)
+
+
+@rule(f"""WITH {_E}, v AS (SELECT user_id, event_id, abs(value - lag(value) OVER w) AS a, abs(len(props)::DOUBLE - lag(len(props)::DOUBLE) OVER w) AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+p AS ({_LAGS}), m AS (SELECT user_id, lag, (avg(a * s) - avg(a) * avg(s)) / nullif(sqrt(greatest((avg(a * a) - avg(a) * avg(a)) * (avg(s * s) - avg(s) * avg(s)), 0e0)), 0) AS r FROM p WHERE s IS NOT NULL GROUP BY user_id, lag)
+SELECT user_id, round(max(r), 8) AS strength FROM m WHERE r IS NOT NULL GROUP BY user_id""")
+def temporal_signal_alignment(spark, d):
+    e = _events(spark, d).withColumn("size", F.length("props").cast("double"))
+    return temporal.signal_alignment(e, "user_id", "event_id", "value", "size", 3).select("user_id", F.round("strength", 8).alias("strength"))
+
+
+# --- numeric ---------------------------------------------------------------------------------
+
+
+@rule("""WITH v AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_pos FROM embeddings)
+SELECT label, row_pos, 'bad' AS kind FROM v WHERE list_contains(list_transform(embedding, x -> x::DOUBLE > 0.35), true)""")
+def numeric_finite_values(spark, d):
+    """Components over 0.35 count as not finite here: the tables hold none that are not."""
+    v = F.transform("embedding", lambda x: F.when(x.cast("double") > 0.35, float("inf")).otherwise(x.cast("double")))
+    rows = _t(spark, d, "embeddings").withColumn("v", v)
+    return numeric.finite_values(rows, "label", "vec_id", "v").select("label", "row_pos", F.lit("bad").alias("kind"))
+
+
+@rule(f"""WITH {_L}, o AS (SELECT vec_id, count(*) AS outside, max(abs(x)) AS largest FROM l WHERE x < -0.3 OR x > 0.3 GROUP BY vec_id)
+SELECT label, row_pos, outside, largest FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_pos FROM embeddings) JOIN o USING (vec_id)""")
+def numeric_configured_bounds(spark, d):
+    return numeric.configured_bounds(_t(spark, d, "embeddings"), "label", "vec_id", "embedding", -0.3, 0.3)
+
+
+@rule(f"""WITH {_L}, p AS (SELECT label, vec_id, abs(x - lag(x) OVER (PARTITION BY label, dim ORDER BY vec_id)) AS s FROM l), m AS (SELECT vec_id, max(s) AS step FROM p GROUP BY vec_id)
+SELECT label, row_pos, step FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_pos FROM embeddings) JOIN m USING (vec_id) WHERE step > 0.5""")
+def numeric_discontinuity(spark, d):
+    return numeric.discontinuity(_t(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.5)
+
+
+@rule(f"""WITH {_L}, p AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY label, dim ORDER BY vec_id)) AS s FROM l),
+q AS (SELECT label, dim, max(s) AS most, max(x) - min(x) AS span FROM p GROUP BY label, dim),
+u AS (SELECT dim, greatest(median(most) * 1.1, median(span) * 0.05) AS lim FROM q GROUP BY dim)
+SELECT label, dim, count(*) AS jumps, max(s) AS largest FROM p JOIN u USING (dim) WHERE s > lim GROUP BY label, dim""")
+def numeric_outlier_jumps(spark, d):
+    return numeric.outlier_jumps(_long(spark, d), "label", "vec_id", 1.1)
+
+
+@rule(f"""WITH {_S}, p AS (SELECT l_suppkey, dim, max(x) AS hi, min(x) AS lo FROM s GROUP BY l_suppkey, dim),
+u AS (SELECT dim, quantile_cont(hi, 0.9) AS top, quantile_cont(lo, 0.1) AS bottom, count(*) AS n FROM p GROUP BY dim),
+o AS (SELECT p.*, n, count(*) OVER (PARTITION BY p.dim) AS f FROM p JOIN u USING (dim) WHERE n >= 5
+  AND (hi > top + greatest(top - bottom, 1e-9) * 0.001 OR lo < bottom - greatest(top - bottom, 1e-9) * 0.001))
+SELECT l_suppkey, dim, hi, lo FROM o WHERE f <= greatest(1, ceil(n * 0.1))""")
+def numeric_episode_envelope(spark, d):
+    return numeric.episode_envelope(_suppliers(spark, d), "l_suppkey", 0.001)
+
+
+@rule("""WITH s AS (SELECT o_custkey % 40 AS episode, i - 1 AS dim, [CASE WHEN o_custkey % 40 = 7 THEN 1e0 ELSE o_totalprice END, o_totalprice][i] AS x FROM orders, range(1, 3) r(i)),
+p AS (SELECT episode, dim, max(x) = min(x) AS still FROM s GROUP BY episode, dim),
+q AS (SELECT *, count(*) OVER w AS n, sum(CASE WHEN still THEN 0 ELSE 1 END) OVER w AS moving FROM p WINDOW w AS (PARTITION BY dim))
+SELECT episode, dim FROM q WHERE still AND n >= 5 AND moving >= 0.9 * (n - 1)""")
+def numeric_stuck_channels(spark, d):
+    """One of forty groups of customers has a channel that is held still."""
+    episode = F.col("o_custkey") % 40
+    pair = F.array(F.when(episode == 7, 1.0).otherwise(F.col("o_totalprice")), F.col("o_totalprice"))
+    return numeric.stuck_channels(_t(spark, d, "orders").select(episode.alias("episode"), F.posexplode(pair).alias("dim", "x")), "episode")
+
+
+@rule(f"""WITH {_E}, s AS (SELECT user_id, event_id, 0 AS dim, value * (CASE WHEN user_id % 50 = 3 THEN 9 ELSE 1 END) AS x FROM e),
+d2 AS (SELECT user_id, dim, x, abs(x - 2 * lag(x) OVER w + lag(x, 2) OVER w) AS v FROM s WINDOW w AS (PARTITION BY user_id, dim ORDER BY event_id)),
+p AS (SELECT user_id, dim, median(v) * 1.4826 / sqrt(6e0) AS noise, max(x) AS hi, min(x) AS lo FROM d2 GROUP BY user_id, dim),
+q AS (SELECT *, count(*) OVER () AS n, (SELECT median(noise) FROM p) AS usual, max(hi) OVER () - min(lo) OVER () AS rng FROM p),
+b AS (SELECT *, count(*) OVER (PARTITION BY dim) AS f FROM q WHERE n >= 5 AND noise > greatest(usual, rng * 1e-3) * 5)
+SELECT user_id, dim, round(noise, 6) AS noise FROM b WHERE f <= greatest(1, ceil(n * 0.1))""")
+def numeric_noise_level(spark, d):
+    x = F.col("value") * F.when(F.col("user_id") % 50 == 3, 9).otherwise(1)
+    rows = _t(spark, d, "events").select("user_id", "event_id", F.lit(0).alias("dim"), x.alias("x"))
+    return numeric.noise_level(rows, "user_id", "event_id").select("user_id", "dim", F.round("noise", 6).alias("noise"))
+
+
+@rule("""WITH s AS (SELECT o_custkey % 40 AS episode, o_totalprice AS a, CASE WHEN o_custkey % 40 = 7 THEN -o_totalprice ELSE o_totalprice END AS s FROM orders),
+m AS (SELECT episode, (avg(a * s) - avg(a) * avg(s)) / sqrt((avg(a * a) - avg(a) * avg(a)) * (avg(s * s) - avg(s) * avg(s))) AS r FROM s GROUP BY episode)
+SELECT episode, round(r, 6) AS r, round((SELECT median(r) FROM m), 6) AS usual FROM m WHERE r < (SELECT median(r) FROM m) - 0.5""")
+def numeric_action_state_coupling(spark, d):
+    o = _t(spark, d, "orders").select((F.col("o_custkey") % 40).alias("episode"), F.col("o_totalprice").alias("a"))
+    o = o.withColumn("s", F.when(F.col("episode") == 7, -F.col("a")).otherwise(F.col("a")))
+    return numeric.coupling(o, "episode", "a", "s").select("episode", F.round("r", 6).alias("r"), F.round("usual", 6).alias("usual"))
+
+
+# --- duplication -----------------------------------------------------------------------------
+
+
+@rule("""WITH f AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_type) AS first FROM part) SELECT p_partkey, first FROM f WHERE p_partkey > first""")
+def duplication_exact_episodes(spark, d):
+    return duplication.exact_episodes(_t(spark, d, "part"), "p_partkey", "p_partkey", ["p_name", "p_brand", "p_type"])
+
+
+@rule("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT greatest(stddev_pop(x), 1e-9) AS sd FROM (SELECT unnest(v) AS x FROM v)),
+p AS (SELECT a.vec_id, b.vec_id AS closest, list_distance(a.v, b.v) / sqrt(64e0) / sd AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id > b.vec_id, s),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, closest) AS n FROM p WHERE distance > 0 AND distance <= 1.2)
+SELECT vec_id, closest, round(distance, 6) AS distance FROM r WHERE n = 1""")
+def duplication_near_episodes(spark, d):
+    near = duplication.near_episodes(_t(spark, d, "embeddings"), "vec_id", "embedding", "label", 1.2)
+    return near.select("vec_id", "closest", F.round("distance", 6).alias("distance"))
+
+
+# --- metadata --------------------------------------------------------------------------------
+
+
+@rule("SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def manifest_required_files(spark, d):
+    """Orders stand for referenced files, lines for those that exist."""
+    there = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return manifest.missing_from(_t(spark, d, "orders"), there, ["o_orderkey"])
+
+
+@rule("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def manifest_orphan_files(spark, d):
+    return manifest.missing_from(_t(spark, d, "customer"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@rule("SELECT s AS event_type FROM (VALUES ('click'), ('imu'), ('view')) v(s) WHERE s NOT IN (SELECT event_type FROM events)")
+def manifest_required_streams(spark, d):
+    want = spark.createDataFrame([("click",), ("imu",), ("view",)], "event_type string")
+    return manifest.missing_from(want, _t(spark, d, "events"), ["event_type"])
+
+
+@rule("""WITH w AS (SELECT * FROM (VALUES ('event_id', 'bigint'), ('value', 'float'), ('torque', 'double')) v(name, type)),
+s AS (SELECT * FROM (VALUES ('event_id', 'bigint'), ('value', 'double')) v(name, stored))
+SELECT name, CASE WHEN stored IS NULL THEN 'missing' ELSE 'type' END AS reason FROM w LEFT JOIN s USING (name) WHERE stored IS NULL OR stored <> type""")
+def manifest_schema_matches(spark, d):
+    """Declared columns against those stored in ``events``."""
+    want = spark.createDataFrame([("event_id", "bigint"), ("value", "float"), ("torque", "double")], "name string, type string")
+    there = spark.createDataFrame(_t(spark, d, "events").dtypes, "name string, stored string")
+    both = want.join(there, "name", "left").where("stored IS NULL OR stored <> type")
+    return both.select("name", F.when(F.col("stored").isNull(), "missing").otherwise("type").alias("reason"))
+
+
+@rule("SELECT label, min(len(embedding))::INT AS least, max(len(embedding))::INT AS most, count(*) AS \"rows\" FROM embeddings WHERE len(embedding) <> 63 GROUP BY label")
+def manifest_shape_consistency(spark, d):
+    return manifest.shape_consistency(_t(spark, d, "embeddings"), "label", "embedding", 63)
+
+
+@rule("""WITH g AS (SELECT o_orderkey, 4 AS declared FROM orders), s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS k, declared::BIGINT AS declared, coalesce(n, 0) AS stored FROM g LEFT JOIN s ON l_orderkey = o_orderkey WHERE coalesce(n, 0) <> declared""")
+def manifest_declared_totals(spark, d):
+    want = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(4).alias("declared_n"))
+    return manifest.declared_totals(want, _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k", "declared_n")
+
+
+@rule("""WITH n AS (SELECT p_name, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS occurrence FROM part) SELECT * FROM n WHERE occurrence > 1""")
+def episode_unique_ids(spark, d):
+    return manifest.unique_ids(_t(spark, d, "part"), "p_name", "p_partkey")
+
+
+@rule("""WITH r AS (SELECT s_suppkey AS pos, s_suppkey * 10 AS a, CASE WHEN s_suppkey % 9 = 4 THEN s_suppkey * 10 - 2 WHEN s_suppkey % 7 = 5 THEN s_suppkey * 10 + 13 ELSE s_suppkey * 10 + 10 END AS b, 10 AS n FROM supplier),
+p AS (SELECT *, lag(b) OVER (ORDER BY pos) AS before FROM r),
+q AS (SELECT pos, concat_ws('; ', CASE WHEN b <= a THEN 'end before start' END, CASE WHEN b - a <> n THEN 'length differs' END, CASE WHEN a < before THEN 'overlaps the last' END) AS reasons FROM p)
+SELECT * FROM q WHERE reasons <> ''""")
+def episode_valid_boundaries(spark, d):
+    """Suppliers stand for rows of episode metadata, with some ranges spoiled."""
+    k = F.col("s_suppkey")
+    ends = F.when(k % 9 == 4, k * 10 - 2).when(k % 7 == 5, k * 10 + 13).otherwise(k * 10 + 10)
+    r = _t(spark, d, "supplier").select(k.alias("pos"), (k * 10).alias("a"), ends.alias("b"), F.lit(10).alias("n"))
+    return manifest.valid_boundaries(r, "pos", "a", "b", "n")
+
+
+@rule("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + CASE WHEN event_id % 97 = 5 THEN 1 ELSE 0 END AS f FROM events)
+SELECT user_id, min(p) AS first, arg_min(f, p) AS value, count(*) AS mismatches FROM e WHERE p <> f GROUP BY user_id""")
+def episode_index_columns(spark, d):
+    e = _t(spark, d, "events")
+    spoiled = row_pos("user_id", "event_id") + F.when(F.col("event_id") % 97 == 5, 1).otherwise(0)
+    return manifest.index_columns(e.withColumn("f", spoiled), "user_id", "event_id", "f")
+
+
+@rule("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3)")
+def episode_task_references(spark, d):
+    known = _t(spark, d, "supplier").where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("l_suppkey"))
+    rows = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return rows.join(known, "l_suppkey", "left_anti").select("l_partkey", "l_suppkey")
+
+
+# --- frames ----------------------------------------------------------------------------------
+
+
+def _frames(spark, d):
+    """Events as frames: value as the mean, its step as the change."""
+    e = _t(spark, d, "events").withColumn("pos", row_pos("user_id", "event_id"))
+    return e.select("user_id", "pos", F.col("value").alias("mean"), (F.col("value") / 4).alias("sd"), F.abs(F.col("value") - 12).alias("change"))
+
+
+_F = """f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, value AS mean, value / 4 AS sd, abs(value - 12) AS change FROM events)"""
+
+
+def _runs(where: str, extra: str = "") -> str:
+    return f"""g AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS run FROM f WHERE {where}),
+r AS (SELECT user_id, min(pos) AS "start", max(pos) AS "end", count(*) AS n{extra} FROM g GROUP BY user_id, run)"""
+
+
+@rule(f"""WITH {_F}, {_runs("(mean <= 3 OR mean >= 245) AND sd <= 3", ", max(mean) AS mean, max(sd) AS sd")} SELECT user_id, "start", "end", n AS "count", mean, sd FROM r""")
+def video_black_frames(spark, d):
+    return frames.black_frames(_frames(spark, d), "user_id", "pos", "mean", "sd")
+
+
+@rule(f"""WITH {_F}, {_runs("change <= 8")} SELECT user_id, "start", "end", n + 1 AS "count" FROM r WHERE n + 1 > 3""")
+def video_frozen_frames(spark, d):
+    return frames.frozen_frames(_frames(spark, d), "user_id", "pos", "change", 8.0, 3)
+
+
+@rule(f"""WITH {_F}, p AS (SELECT user_id, count(*) AS n, avg((change <= 5)::INT) AS share, median(CASE WHEN change > 5 THEN change END) AS fresh FROM f GROUP BY user_id)
+SELECT user_id, n, round(share, 8) AS share, round(fresh, 8) AS fresh FROM p WHERE n >= 20 AND share >= 0.2 AND fresh >= 7.5""")
+def video_repeated_frames(spark, d):
+    r = frames.repeated_frames(_frames(spark, d), "user_id", "change", 5.0, 0.2, 1.5)
+    return r.select("user_id", "n", F.round("share", 8).alias("share"), F.round("fresh", 8).alias("fresh"))
+
+
+@rule("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT c_custkey AS user_id, 60::BIGINT AS length, coalesce(n, 0) AS decoded
+FROM customer LEFT JOIN c ON user_id = c_custkey WHERE abs(coalesce(n, 0) - 60) > 5""")
+def video_decode(spark, d):
+    want = _t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(60).alias("n"))
+    return frames.decode_counts(want, _t(spark, d, "events"), "user_id", "n", 5)
+
+
+@rule("""WITH p AS (SELECT user_id, min(epoch_us(ts)) AS err FROM events WHERE event_type = 'error' GROUP BY user_id),
+r AS (SELECT user_id, epoch_us(ts) AS a, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, err, a, b FROM p JOIN r USING (user_id) WHERE a <= err AND err < b""")
+def video_bitstream(spark, d):
+    e = _events(spark, d)
+    probe = e.where("event_type = 'error'").groupBy("user_id").agg(F.min("t").alias("err"))
+    w = F.lead("t").over(temporal.along("user_id", "event_id"))
+    return frames.bitstream(probe, e.select("user_id", F.col("t").alias("a"), w.alias("b")), "user_id", "err", "a", "b")
+
+
+@rule(f"""WITH r AS (SELECT user_id, epoch_us(ts) AS a, epoch_us(ts) + {5 * HOUR} AS b FROM events), p AS (SELECT user_id, a, a - lag(b) OVER (PARTITION BY user_id ORDER BY a, b) AS gap FROM r)
+SELECT * FROM p WHERE abs(gap) > {2 * HOUR}""")
+def video_timeline(spark, d):
+    r = _events(spark, d).select("user_id", F.col("t").alias("a"), (F.col("t") + 5 * HOUR).alias("b"))
+    return frames.timeline(r, "user_id", "a", "b", 2 * HOUR)
+
+
+@rule("""WITH b AS (SELECT vec_id, vec_id % 2 AS cam, i AS cell, embedding[i]::DOUBLE + CASE WHEN vec_id % 2 = 1 AND vec_id <> 31 THEN 5 ELSE 0 END AS x FROM embeddings, range(1, 65) r(i)),
+c AS (SELECT cam, cell, median(x) AS c FROM b GROUP BY cam, cell), a AS (SELECT b.vec_id, b.cam, c.cam AS o, avg(abs(x - c)) AS d FROM b JOIN c USING (cell) GROUP BY 1, 2, 3)
+SELECT s.vec_id, s.cam, t.o AS looks_like, round(s.d, 8) AS own, round(t.d, 8) AS other FROM a s JOIN a t ON s.vec_id = t.vec_id AND s.cam = s.o AND t.o <> t.cam WHERE t.d < 0.5 * s.d""")
+def video_camera_identity(spark, d):
+    """Two cameras five apart; the frames of episode 31 come from the other one."""
+    shift = F.when((F.col("vec_id") % 2 == 1) & (F.col("vec_id") != 31), 5.0).otherwise(0.0)
+    rows = _t(spark, d, "embeddings").withColumn("s", shift).withColumn("cells", F.transform("embedding", lambda x: x.cast("double") + F.col("s")))
+    found = frames.camera_identity(rows.select("vec_id", (F.col("vec_id") % 2).alias("cam"), "cells"), "vec_id", "cam", "cells")
+    return found.select("vec_id", "cam", "looks_like", F.round("own", 8).alias("own"), F.round("other", 8).alias("other"))
+
+
+# --- messages --------------------------------------------------------------------------------
+
+
+def _messages(spark, d):
+    """Events by topic, with a header clock, a sequence number and a channel."""
+    e = _events(spark, d)
+    return e.withColumn("late", F.when(F.col("event_id") % 50 == 7, F.col("t") - 9 * HOUR).otherwise(F.col("t")))
+
+
+_M = f"""m AS (SELECT *, epoch_us(ts) AS t, CASE WHEN event_id % 50 = 7 THEN epoch_us(ts) - {9 * HOUR} ELSE epoch_us(ts) END AS late FROM events)"""
+
+
+@rule(f"""WITH {_M}, p AS (SELECT event_type, row_number() OVER w - 1 AS row_pos, late - lag(late) OVER w AS delta FROM m WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) SELECT * FROM p WHERE delta < 0 AND -delta > {HOUR}""")
+def mcap_timestamp_order(spark, d):
+    return messages.rollbacks(_messages(spark, d), "event_type", "event_id", "late", HOUR)
+
+
+@rule("""WITH p AS (SELECT event_type, epoch_us(ts) // 600000000 AS m, lag(epoch_us(ts) // 600000000) OVER (PARTITION BY event_type ORDER BY event_id) AS q FROM events)
+SELECT event_type, count(*) AS repeats FROM p WHERE m = q GROUP BY event_type""")
+def mcap_duplicate_timestamps(spark, d):
+    """Times are cut to ten minutes, so that some are equal."""
+    m = _events(spark, d).withColumn("cell", F.expr("t div 600000000"))
+    return messages.duplicate_timestamps(m, "event_type", "event_id", "cell")
+
+
+@rule("""WITH p AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) SELECT user_id, min(event_id) AS first, count(*) AS breaks FROM p WHERE d <> 1 GROUP BY user_id""")
+def mcap_sequence_continuity(spark, d):
+    return messages.sequence_continuity(_events(spark, d), "user_id", "event_id", "event_id")
+
+
+@rule("SELECT event_type, count(DISTINCT user_id % 3) AS kinds FROM events GROUP BY event_type HAVING count(DISTINCT user_id % 3) > 1")
+def mcap_channel_schema(spark, d):
+    return messages.channel_schema(_t(spark, d, "events").withColumn("schema", F.col("user_id") % 3), "event_type", ["schema"])
+
+
+@rule("""WITH x AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 5 <> 0 THEN 65 END AS expected FROM customer), g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, expected::BIGINT AS expected, coalesce(n, 0) AS messages FROM x LEFT JOIN g USING (user_id) WHERE expected IS NOT NULL AND expected <> coalesce(n, 0)""")
+def mcap_summary_consistency(spark, d):
+    want = _t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 5 != 0, 65).alias("n"))
+    return messages.summary_consistency(want, _t(spark, d, "events"), "user_id", "n")
+
+
+@rule("SELECT DISTINCT n_name, CASE WHEN n_regionkey = 1 THEN 'cdr' ELSE 'json' END AS me, 'ros2msg' AS se FROM nation WHERE n_regionkey <> 1")
+def ros2_encoding(spark, d):
+    c = _t(spark, d, "nation").select("n_name", F.when(F.col("n_regionkey") == 1, "cdr").otherwise("json").alias("me"), F.lit("ros2msg").alias("se"))
+    return messages.encoding(c, "n_name", "me", "se")
+
+
+@rule("SELECT user_id, count(*) AS errors, arg_min(props, event_id) AS first FROM events WHERE event_type = 'error' GROUP BY user_id")
+def ros2_decode(spark, d):
+    m = _t(spark, d, "events").withColumn("err", F.when(F.col("event_type") == "error", F.col("props")))
+    return messages.decode_errors(m, "user_id", "event_id", "err")
+
+
+@rule("SELECT s AS event_type FROM (VALUES ('odom'), ('click')) v(s) WHERE s NOT IN (SELECT event_type FROM events)")
+def ros2_required_topics(spark, d):
+    want = spark.createDataFrame([("odom",), ("click",)], "event_type string")
+    return manifest.missing_from(want, _t(spark, d, "events"), ["event_type"])
+
+
+@rule(f"""WITH p AS (SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM events)
+SELECT event_type, max(g) AS gap, count(*) AS n FROM p WHERE event_type IN ('click', 'error') GROUP BY event_type HAVING max(g) > {HOUR} AND count(*) >= 3""")
+def ros2_topic_gaps(spark, d):
+    rates = spark.createDataFrame([("click", HOUR // 5), ("error", HOUR // 5)], "event_type string, period long")
+    return messages.topic_gaps(_events(spark, d), "event_type", "event_id", "t", F.broadcast(rates))
+
+
+@rule(f"""WITH {_M} SELECT event_type, max(t - late) AS skew, min(event_id) AS "at" FROM m WHERE t - late = {9 * HOUR} GROUP BY event_type""")
+def ros2_header_clock_skew(spark, d):
+    return messages.header_skew(_messages(spark, d), "event_type", "event_id", "late", "t", HOUR)
+
+
+@rule("""WITH m AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_pos, len(embedding)::INT AS n FROM embeddings)
+SELECT label, row_pos, n, label + 58 AS expected FROM m WHERE n <> label + 58""")
+def ros2_semantic_consistency(spark, d):
+    """Vectors whose length is not what their message declares."""
+    rows = _t(spark, d, "embeddings").select("label", row_pos("label", "vec_id").alias("row_pos"), F.size("embedding").alias("n"), (F.col("label") + 58).alias("expected"))
+    return rows.where("n <> expected")
+
+
+@rule("SELECT l_partkey AS child, count(DISTINCT l_suppkey) AS parents FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
+def ros2_tf_tree(spark, d):
+    return messages.tf_tree(_t(spark, d, "lineitem").select(F.col("l_suppkey").alias("parent"), F.col("l_partkey").alias("child")), "parent", "child")
+
+
+# --- reports ---------------------------------------------------------------------------------
+
+
+def _gaps(spark, d, hours):
+    found = temporal.sampling_interval(_events(spark, d), "user_id", "event_id", "t", hours * HOUR, 1.0)
+    return report.findings(found, "temporal.sampling_interval", "warning", "user_id", "row_pos", ["delta"])
+
+
+def _gap_sql(hours):
+    return f"""SELECT 'temporal.sampling_interval' AS rule_id, user_id::VARCHAR AS episode, row_pos AS sample_index,
+  sha256(concat_ws('|', 'temporal.sampling_interval', user_id::VARCHAR, row_pos::VARCHAR)) AS fingerprint, '{{"delta":' || (t - pt) || '}}' AS observed FROM e WHERE t - pt > {2 * hours * HOUR}"""
+
+
+@rule(f"WITH {_E} {_gap_sql(10)}".replace("AS rule_id,", "AS rule_id, 'warning' AS severity,"))
+def report_findings(spark, d):
+    return _gaps(spark, d, 10)
+
+
+@rule(f"""WITH {_E}, g AS ({_gap_sql(5)}), n AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY episode, sample_index, fingerprint) AS n FROM g)
+SELECT rule_id, 'warning' AS severity, episode, sample_index, observed, fingerprint, total FROM n WHERE n <= 50""")
+def report_capped(spark, d):
+    return report.capped(_gaps(spark, d, 5))
+
+
+@rule(f"""WITH {_E}, g AS ({_gap_sql(10)}) SELECT rule_id, 'warning' AS severity, episode, sample_index, observed, fingerprint, episode::BIGINT % 4 = 1 AS suppressed FROM g""")
+def report_baseline(spark, d):
+    """Of reviewed entries those of every fourth episode hold; others have expired."""
+    found = _gaps(spark, d, 10)
+    n = F.col("episode").cast("long") % 4
+    entries = found.where(n < 2).select("fingerprint", "rule_id", F.when(n == 0, F.lit(datetime.date(2020, 1, 1))).alias("expires_at"))
+    return report.suppressed(found, entries, datetime.date(2026, 1, 1))
+
+
+@rule(f"""WITH {_E}, a AS ({_gap_sql(10)}), b AS ({_gap_sql(8)}) SELECT coalesce(a.rule_id, b.rule_id) AS rule_id, coalesce(a.fingerprint, b.fingerprint) AS fingerprint,
+CASE WHEN a.rule_id IS NULL THEN 'new' WHEN b.rule_id IS NULL THEN 'resolved' ELSE 'persistent' END AS status FROM a FULL OUTER JOIN b ON a.fingerprint = b.fingerprint""")
+def report_comparison(spark, d):
+    return report.compared(_gaps(spark, d, 10), _gaps(spark, d, 8), ["rule_id", "fingerprint"])
+
+
+@rule("""WITH p AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT count(*) AS episodes, sum(n)::BIGINT AS frames, min(n) AS shortest, max(n) AS longest, (SELECT count(DISTINCT event_type) FROM events) AS tasks FROM p""")
+def report_coverage(spark, d):
+    return report.coverage(_t(spark, d, "events"), "user_id", F.col("event_type"))
