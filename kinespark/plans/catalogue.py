@@ -122,8 +122,8 @@ def temporal_signal_alignment(spark, d):
 # --- numeric ---------------------------------------------------------------------------------
 
 
-@rule("""WITH v AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_pos FROM embeddings)
-SELECT label, row_pos, 'bad' AS kind FROM v WHERE list_contains(list_transform(embedding, x -> x::DOUBLE > 0.35), true)""")
+@rule(f"""WITH {_L}, o AS (SELECT DISTINCT vec_id FROM l WHERE x > 0.35)
+SELECT label, row_pos, 'bad' AS kind FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_pos FROM embeddings) JOIN o USING (vec_id)""")
 def numeric_finite_values(spark, d):
     """Components over 0.35 count as not finite here: the tables hold none that are not."""
     v = F.transform("embedding", lambda x: F.when(x.cast("double") > 0.35, float("inf")).otherwise(x.cast("double")))
