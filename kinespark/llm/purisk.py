@@ -120,7 +120,7 @@ def train(documents: DataFrame, labels: DataFrame, may_learn: Column, sample: in
 
         got = map_batches(rows.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x array<double>").collect()
         got.sort(key=lambda r: (r.doc_id, r.x))
-        return np.array([r.x for r in got]).reshape(len(got), -1)
+        return np.array([r.x for r in got]) if got else np.zeros((0, len(features(None))))
 
     return fit(measured(trusted), measured(web), prior)
 
