@@ -33,19 +33,25 @@ BITS = 64
 _STEP = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """Hashes of the text's word shingles in order, ASCII letters in lower case."""
     words = word_bytes(text, lower=True)
     if not words:
-        return 0
+        return []
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-        stop = (start + lens)[shingle - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    joined = b" ".join(words)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
+    stop = (start + lens)[shingle - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop)]
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     packed = np.array(hashes, dtype="<u8")
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(packed), _STEP):
