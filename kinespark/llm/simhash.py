@@ -209,14 +209,15 @@ def hex16(fp: Column) -> Column:
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` less all but one of each near-duplicate group.
 
-    The row with the smallest id stays; among rows that share it, one stays. Columns are those
-    of ``docs``.
+    The row with the smallest id stays, a row without an id only where none has one; each row
+    is told from the others by a stored number of its own. Columns are those of ``docs``.
     """
-    groups = dedup_groups(docs.select("doc_id", "text"), shingle, radius)
-    winners = groups.select("component_id").distinct()
-    kept = docs.join(winners, docs.doc_id.eqNullSafe(winners.component_id), "left_semi")
-    # repeated rows of one id: the smallest row stays
-    cols = docs.columns
-    payload = F.struct(*[F.col(f"`{c}`") for c in cols if c != "doc_id"])
-    one = kept.groupBy("doc_id").agg(F.min(payload).alias("p"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"p.`{c}`").alias(c) for c in cols])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("whole")))
+    # the groups of row numbers: each component is named by its smallest row
+    by_row = dedup_groups(rows.select(F.col("row").alias("doc_id"), "whole.text"), shingle, radius)
+    ids = rows.select("row", F.col("whole.doc_id").alias("doc_id"))
+    named = by_row.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    winners = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(winners, "row", "left_semi").select("whole.*")

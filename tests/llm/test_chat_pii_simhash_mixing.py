@@ -195,6 +195,13 @@ def test_simhash_edges(spark):
     assert simhash.dedup_groups(df.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_apart(spark):
+    """Texts without an id, and other texts that share one, are rows of their own."""
+    rows = [(None, "first of no id", "a"), (None, "second of no id", "a"), (None, "third  one", "a"), (None, "Third one", "b"), (7, "a b c", "a"), (7, "d e f", "a"), (5, "x y z", "a"), (7, "x Y z", "a")]
+    out = sorted(((r.doc_id or 0), r.text.lower().replace("  ", " ")) for r in simhash.keep_one(docs_of(spark, rows)).collect())
+    assert out == [(0, "first of no id"), (0, "second of no id"), (0, "third one"), (5, "x y z"), (7, "a b c"), (7, "d e f")]
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 
