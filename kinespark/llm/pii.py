@@ -151,8 +151,7 @@ def _phone(text: str, at: int) -> tuple[int, int] | None:
 
 def _after_cue(text: str, at: int) -> int:
     """Past quotes, blanks and the signs that join a cue to its value."""
-    stop = min(len(text), at + 8)
-    while at < stop and text[at] in " \t\"':=#.":
+    while at < len(text) and text[at] in " \t\"':=#.":
         at += 1
     return at
 
@@ -199,7 +198,7 @@ def _secret(text: str, at: int) -> tuple[int, int] | None:
 def _login(text: str, at: int) -> tuple[int, int] | None:
     """``at`` follows ``://``; user information in front of an at-sign."""
     end = at
-    while end < len(text) and end < at + 256 and not text[end].isspace() and text[end] not in "/?#@\"'<>":
+    while end < len(text) and not text[end].isspace() and text[end] not in "/?#@\"'<>":
         end += 1
     return (at, end) if at < end < len(text) and text[end] == "@" else None
 

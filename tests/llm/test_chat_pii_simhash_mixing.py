@@ -109,6 +109,16 @@ def test_pii_operator_edges(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_pii_long_login_and_wide_padding():
+    login = "me:" + "aB3._-" * 500
+    text = f"https://{login}@host/x account number:{' ' * 40}12345678, token = {' ' * 30}1eb9c654e721b4f812088970e66a6345"
+    got = {k: [text[a:b] for a, b in v] for k, v in pii.find(text).items()}
+    assert got["url_login"] == [login]
+    assert got["account"] == ["12345678"] and got["secret"] == ["1eb9c654e721b4f812088970e66a6345"]
+    assert login not in pii.mask(text)
+    assert pii.find("://" + "a" * 300 + "/b@c")["url_login"] == []
+
+
 # --- simhash -----------------------------------------------------------------------------------
 
 
