@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_groups
+from .common import arrow_map, whole_groups
 
 ESCAPE = "\\"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
@@ -177,4 +177,4 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_format_partition, FORMATTED)
+    return arrow_map(dealt.select("conv_id", "role", "text"), _format_partition, FORMATTED)

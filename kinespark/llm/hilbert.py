@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, whole_groups
+from .common import arrow_map, stored, whole_groups
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -134,7 +134,7 @@ def _keyed(rows: DataFrame, orders: int, dims: int, bits: int, seed: int) -> Dat
                     [pa.array(np.full(len(key), o, np.int32)), pa.array(key), batch.column(0), batch.column(1)], ["o", "key", "vec_id", "v"]
                 )
 
-    return rows.mapInArrow(run, "o int, key long, vec_id long, v array<double>")
+    return arrow_map(rows, run, "o int, key long, vec_id long, v array<double>")
 
 
 def window_search(rows: DataFrame, is_query: Column, k: int, orders: int = 4, window: int = 64, dims: int = 6, bits: int = 10, seed: int = 5) -> DataFrame:
@@ -170,7 +170,7 @@ def window_search(rows: DataFrame, is_query: Column, k: int, orders: int = 4, wi
             if got[0]:
                 yield _found(got)
 
-    found = both.repartition("block").sortWithinPartitions("block", "ask").mapInArrow(rerank, FOUND)
+    found = arrow_map(both.repartition("block").sortWithinPartitions("block", "ask"), rerank, FOUND)
     return best(found, k)
 
 
@@ -200,7 +200,7 @@ def exact_check(rows: DataFrame, queries: DataFrame, found: DataFrame, k: int, q
                         if got[0]:
                             yield _found(got)
 
-        checked = rows.select("vec_id", "v").mapInArrow(check, FOUND)
+        checked = arrow_map(rows.select("vec_id", "v"), check, FOUND)
         out = out.unionByName(stored(checked) if blocks > 1 else checked)
     return best(out, k)
 

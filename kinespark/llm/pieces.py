@@ -1,11 +1,15 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text becomes units: runs of blanks with the word behind them, and line ends. No piece crosses
-a unit, so units are encoded on their own. For the ``table_units`` most frequent units the
-lattice is relational: substrings of bounded length are exploded, equi-joined to the piece
-table, and the edges are grouped by unit; a Spark higher-order ``aggregate`` folds them into
-the segmentation. Their ids go to the executors as one table of bounded size; all other units
-are encoded in the executors from the same pieces, so a text needs no shuffle.
+a unit, so units are encoded on their own, over a lattice: the unit's substrings of bounded
+length that are pieces are its edges, and a fold over the edges gives the segmentation.
+
+For the ``table_units`` most frequent units the lattice is relational: substrings are exploded,
+equi-joined to the piece table, grouped by unit, and folded by a Spark higher-order
+``aggregate``. Their ids go to the executors as one table of bounded size. All other units get
+the same lattice where they are met, column by column (``Lattice``): substrings are joined to the
+piece table by the pieces' trie, edges are grouped by unit, and all units are folded in step. So
+a text needs no shuffle and no unit is left out.
 
 Two kinds of model: ``unigram`` pieces are folded by Viterbi over positions (best sum of
 scores); ``bpe`` pieces by merges in the order of rank, over a bit mask of unit boundaries,
@@ -15,13 +19,15 @@ exact for units without a late piece. Other units, and units longer than the mas
 merge loop instead.
 
 Defined cases: null text is the empty text and has no ids; U+2581 counts as a blank and is
-decoded as one; characters without a piece become byte pieces; repeated rows each get a row;
-an empty table gives no rows; other columns of the input are ignored.
+decoded as one; characters without a piece become byte pieces; very long texts and units are
+encoded whole; repeated rows each get a row; an empty table gives no rows; other columns of the
+input stay, but a column named like the result gives way to it.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,17 +35,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import arrow_map, map_batches, sliced, stored
 
 #: where the public tokenizer lies by default; a parameter everywhere
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MASK_CHARS = 60
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
-_MEMO = 300_000
+_MEMO = 100_000
+_TALLY = 200_000
 
 
 @dataclass
@@ -174,15 +181,15 @@ def count_units(docs: DataFrame) -> DataFrame:
             tally.clear()
             return batch
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for part in itertools.chain.from_iterable(map(sliced, batches)):
+            for text in part.column(0).to_pylist():
                 tally.update(units_of(text))
-                if len(tally) > 500_000:
+                if len(tally) > _TALLY:
                     yield out()
         if tally:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("text"), run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
@@ -194,16 +201,14 @@ def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
     spark = units.sparkSession
     rows = [(p, i, float(-s), p in table.late) for p, (i, s) in table.pieces.items()]
     pieces = spark.createDataFrame(rows, "piece string, id int, rank double, late boolean")
-    substrings = F.expr(
-        f"""explode(flatten(transform(sequence(0, char_length(unit) - 1), s ->
-            transform(sequence(1, least({table.longest}, char_length(unit) - s)), l ->
-                struct(s AS s, l AS l, substring(unit, s + 1, l) AS piece)))))"""
-    )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: small, but dear to fold
     dealt = units.where("unit != ''").select("unit").repartition(parts, "unit")
+    starts = F.explode(F.expr("sequence(0, char_length(unit) - 1)"))
+    lengths = F.explode(F.expr(f"sequence(1, least({table.longest}, char_length(unit) - s))"))
     edges = (
-        dealt.select("unit", substrings.alias("e"))
-        .select("unit", "e.s", "e.l", "e.piece")
+        dealt.select("unit", starts.alias("s"))
+        .select("unit", "s", lengths.alias("l"))
+        .select("unit", "s", "l", F.expr("substring(unit, s + 1, l)").alias("piece"))
         .join(F.broadcast(pieces), "piece")
         .groupBy("unit")
         .agg(F.collect_list(F.struct("rank", "s", "l", "id", "late")).alias("edges"))
@@ -213,12 +218,11 @@ def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
 
 
 def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, ids) by the relational lattice; units that need the general loop have null ids."""
+    """(unit, ids) by the relational lattice.
+
+    Units that need the merge loop, or byte pieces, have null ids here.
+    """
     spans = lattice(units, table).select("unit", F.sort_array("edges").alias("edges"), F.char_length("unit").alias("n"))
-    base = table.bytes_[0]
-    in_order = table.bytes_ == list(range(base, base + 256))
-    char = "substring(unit, s + 1, 1)"
-    as_bytes = f"transform(sequence(1, octet_length({char})), i -> int(conv(substring(hex({char}), 2 * i - 1, 2), 16, 10)) + {base})"
     if table.kind == "bpe":
         # bit p of the mask: a part begins at p; a merge takes exactly one bit out
         inner = "(m & (shiftleft(1L, e.s + e.l) - shiftleft(1L, e.s + 1)))"
@@ -236,61 +240,172 @@ def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
         step = "transform(a, (x, p) -> CASE WHEN p = e.s + e.l AND a[e.s].best - e.rank > x.best THEN named_struct('best', a[e.s].best - e.rank, 'back', e.s) ELSE x END)"
         walk = "aggregate(sequence(1, n), array(n), (c, i) -> CASE WHEN element_at(c, -1) > 0 THEN concat(c, array(best[element_at(c, -1)].back)) ELSE c END)"
         parts = spans.withColumn("best", F.expr(f"aggregate({ordered}, {first}, (a, e) -> {step})")).withColumn("cuts", F.expr(f"reverse({walk})"))
-    ids = f"""flatten(transform(sequence(1, size(cuts) - 1), k ->
-        transform(array(named_struct('s', cuts[k - 1], 'l', cuts[k] - cuts[k - 1])), c ->
-            transform(array(filter(edges, e -> e.s = c.s AND e.l = c.l)), f ->
-                CASE WHEN size(f) > 0 THEN array(f[0].id)
-                     ELSE {as_bytes.replace("s + 1", "c.s + 1")} END)[0])[0]))"""
-    return parts.select("unit", F.when(F.lit(in_order), F.expr(f"CASE WHEN cuts IS NOT NULL THEN {ids} END")).alias("ids"))
+    # the map is bound by a lambda, so that it is built once for a unit and not for every part
+    of = "map_from_entries(transform(edges, e -> struct(e.s * 65536 + e.l, e.id)))"
+    found = f"transform(array({of}), of -> transform(sequence(1, size(cuts) - 1), k -> element_at(of, cuts[k - 1] * 65536 + cuts[k] - cuts[k - 1])))[0]"
+    ids = parts.withColumn("ids", F.expr(f"CASE WHEN cuts IS NOT NULL THEN {found} END"))
+    return ids.select("unit", F.expr("CASE WHEN NOT exists(ids, i -> i IS NULL) THEN ids END").alias("ids"))
+
+
+class Lattice:
+    """The lattice of many units at once. Exact: the trie compares whole pieces."""
+
+    def __init__(self, table: PieceTable):
+        self.table = table
+        child: dict[int, int] = {}
+        ends = {}
+        for p in table.pieces:
+            at = 0
+            for c in p:
+                at = child.setdefault(at << 21 | ord(c), len(child) + 1)
+            ends[at] = p
+        self.keys = np.array(sorted(child), np.int64)
+        self.next = np.array([child[k] for k in self.keys.tolist()], np.int64)
+        self.id = np.full(len(child) + 1, -1, np.int64)
+        self.rank = np.zeros(len(child) + 1)
+        self.is_late = np.zeros(len(child) + 1, bool)
+        for at, p in ends.items():
+            self.id[at], self.rank[at], self.is_late[at] = table.pieces[p][0], -table.pieces[p][1], p in table.late
+
+    def edges(self, chars: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, node) of all pieces in ``chars``; ``stop``: where each one's unit ends."""
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        found = []
+        for length in range(1, self.table.longest + 1):
+            inside = at + length <= stop[at]
+            at, node = at[inside], node[inside]
+            if not len(at) or not len(self.keys):
+                break
+            key = node << 21 | chars[at + length - 1]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[place] == key
+            at, node = at[hit], self.next[place[hit]]
+            piece = self.id[node] >= 0
+            found.append((at[piece], np.full(piece.sum(), length), node[piece]))
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+    def encode(self, units: list[str]) -> list[bytes]:
+        """The ids of every unit as 32-bit integers; units that need the merge loop take it."""
+        own = self.table
+        if own.kind != "bpe":
+            return [np.array(own.encode_unit(u), "<i4").tobytes() for u in units]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        long_ones = [k for k in np.flatnonzero(sizes > MASK_CHARS).tolist()]
+        fits = units if not long_ones else [u if len(u) <= MASK_CHARS else "" for u in units]
+        n = np.where(sizes <= MASK_CHARS, sizes, 0)
+        chars = np.frombuffer("".join(fits).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin = np.cumsum(n) - n
+        unit = np.repeat(np.arange(len(units)), n)
+        start, length, node = self.edges(chars, (begin + n)[unit])
+        # grouped by unit, in the order of rank
+        long = np.flatnonzero(length > 1)
+        owner = unit[start[long]]
+        long = long[np.lexsort((length[long], start[long], self.rank[node[long]], owner))]
+        owner = unit[start[long]]
+        count = np.bincount(owner, minlength=len(units))
+        first = np.cumsum(count) - count
+        order = np.argsort(-count, kind="stable")
+        one = np.uint64(1)
+        mask = (one << (n + 1).astype(np.uint64)) - one
+        s, e = (start[long] - begin[owner]).astype(np.uint64), (start[long] - begin[owner] + length[long]).astype(np.uint64)
+        between = (one << e) - (one << (s + one))
+        both = (one << s) | (one << e)
+        falling = -count[order]
+        for k in range(int(count.max()) if len(count) else 0):  # the k-th edge of every unit that has one
+            who = order[: np.searchsorted(falling, -k, side="left")]
+            edge = first[who] + k
+            m = mask[who]
+            inner = m & between[edge]
+            join = ((m & both[edge]) == both[edge]) & (np.bitwise_count(inner) == 1)
+            mask[who] = np.where(join, m ^ inner, m)
+        place = (np.arange(len(chars)) - begin[unit]).astype(np.uint64)
+        cut = np.flatnonzero((mask[unit] >> place) & one)
+        size = np.diff(np.append(cut, len(chars)))
+        size = np.minimum(size, (begin + n)[unit[cut]] - cut)
+        known = start * 64 + length
+        by = np.argsort(known)
+        want = cut * 64 + size
+        got = by[np.minimum(np.searchsorted(known[by], want), len(by) - 1)] if len(by) else np.zeros(len(cut), np.int64)
+        is_piece = known[got] == want if len(by) else np.zeros(len(cut), bool)
+        spelt = {int(k): own.byte_ids(chr(chars[cut[k]])) for k in np.flatnonzero(~is_piece)}
+        times = np.ones(len(cut), np.int64)
+        for k, ids in spelt.items():
+            times[k] = len(ids)
+        to = np.cumsum(times) - times
+        ids = np.zeros(int(times.sum()), "<i4")
+        if len(by):
+            ids[to[is_piece]] = self.id[node[got[is_piece]]]
+        for k, spelling in spelt.items():
+            ids[to[k] : to[k] + len(spelling)] = spelling
+        per = np.bincount(unit[cut], weights=times, minlength=len(units)).astype(np.int64) * 4
+        raw, ends = ids.tobytes(), np.cumsum(per).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        late = set(unit[start[self.is_late[node]]].tolist())
+        for k in [*late, *long_ones]:
+            out[k] = np.array(own.encode_unit(units[k]), "<i4").tobytes()
+        return out
 
 
-def unit_table(docs: DataFrame, table: PieceTable, table_units: int = 1 << 16) -> dict[str, list[int]]:
+def unit_table(docs: DataFrame, table: PieceTable, table_units: int = 1 << 16) -> dict[str, bytes]:
     """Ids of the most frequent units, by the relational lattice; bounded by ``table_units``."""
     counted = count_units(docs).where(F.char_length("unit") <= MASK_CHARS)
     top = stored(counted.orderBy(F.desc("n"), "unit").limit(table_units))
-    got = encode_units(top, table).where("ids IS NOT NULL").toArrow()
-    return dict(zip(got["unit"].to_pylist(), got["ids"].to_pylist()))
+    got = encode_units(top, table).where("ids IS NOT NULL").toArrow().combine_chunks()
+    if not got.num_rows:
+        return {}
+    ids = got["ids"].combine_chunks()
+    raw, at = ids.flatten().to_numpy().astype("<i4").tobytes(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+    return {u: raw[4 * a : 4 * b] for u, a, b in zip(got["unit"].to_pylist(), at, at[1:])}
+
+
+class Encoder:
+    """Texts to ids, with the table of frequent units and a bounded memory of others."""
+
+    def __init__(self, table: PieceTable, known: dict[str, bytes]):
+        self.table, self.lattice, self.known, self.of = table, Lattice(table), known, dict(known)
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text as 32-bit integers."""
+        if len(self.of) > len(self.known) + _MEMO:
+            self.of = dict(self.known)
+        of = self.of
+        units = [units_of(t) for t in texts]
+        new = list(set(itertools.chain.from_iterable(units)).difference(of))
+        of.update(zip(new, self.lattice.encode(new)))
+        return [b"".join(map(of.__getitem__, us)) for us in units]
+
+    def lists(self, texts: list[str | None]) -> pa.ListArray:
+        rows = self.texts(texts)
+        at = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+
+
+def encoder(docs: DataFrame, table: PieceTable, table_units: int = 1 << 16):
+    """A function for executors that makes the encoder of ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast((table, unit_table(docs, table, table_units)))
+    return lambda: Encoder(*sent.value)
 
 
 def encode(docs: DataFrame, table: PieceTable, table_units: int = 1 << 16) -> DataFrame:
     """``docs`` with ``ids``, the piece ids of the whole text, in place of ``text``."""
-    spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast((table, unit_table(docs, table, table_units)))
-    others = [c for c in docs.columns if c not in ("text", "ids")]
+    make = encoder(docs, table, table_units)
+    others = [c for c in docs.columns if c.lower() not in ("text", "ids")]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = sent.value
-        memo: dict[str, list[int]] = {}
-        for batch in batches:
-            flat: list[np.ndarray] = []
-            at = [0]
-            for text in batch.column(len(others)).to_pylist():
-                ids: list[int] = []
-                for u in units_of(text):
-                    got = known.get(u) or memo.get(u)
-                    if got is None:
-                        got = own.encode_unit(u)
-                        if len(u) <= MASK_CHARS:
-                            if len(memo) > _MEMO:
-                                memo.clear()
-                            memo[u] = got
-                    ids += got
-                flat.append(np.array(ids, np.int32))
-                at.append(at[-1] + len(ids))
-            if flat:
-                values = pa.array(np.concatenate(flat))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], lists], [*others, "ids"])
+        own = make()
+        for part in itertools.chain.from_iterable(map(sliced, batches)):
+            ids = own.lists(part.column(len(others)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], ids], [*others, "ids"])
 
     schema = rows.select(*[F.col(f"`{c}`") for c in others], F.array(F.lit(0)).alias("ids")).schema
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def decode(coded: DataFrame, table: PieceTable) -> DataFrame:
     """``coded`` with ``text`` decoded from ``ids`` in place of ``ids``."""
     at = coded.columns.index("ids")
-    others = [c for c in coded.columns if c not in ("text", "ids")]
+    others = [c for c in coded.columns if c.lower() not in ("text", "ids")]
     sent = coded.sparkSession.sparkContext.broadcast(table)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

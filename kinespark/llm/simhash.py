@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, whole_groups, word_bytes
+from .common import arrow_map, map_batches, stored, whole_groups, word_bytes
 
 SEED = 42
 BITS = 64
@@ -149,7 +149,7 @@ def links(nodes: DataFrame, radius: int = 3, bucket_rows: int = 2048) -> DataFra
         part = keyed if small is None else keyed.join(small, "key")
         # an explicit exchange: unlike a skewed join's output it never splits a key
         dealt = part.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-        found = dealt.mapInArrow(_bucket_edges(radius), "src long, dst long")
+        found = arrow_map(dealt, _bucket_edges(radius), "src long, dst long")
         edges = found if edges is None else edges.unionByName(found)
         if large is None:
             break

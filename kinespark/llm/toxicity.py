@@ -33,7 +33,7 @@ _MARKS = "\"“”„«»‘’"
 _TRIM = _MARKS + "'.,;:!?()[]{}<>*_-…|#$%&/\\"
 _LEAST_FUZZY = 5
 _STEM_LENGTHS = (4, 5, 6, 7, 8)
-_CACHE = 400_000
+_CACHE = 100_000
 
 
 def normal(token: str) -> str:
