@@ -4,12 +4,15 @@ A document's key is an exponential variate divided by its quality weight, so sma
 drawn first. Within a source the documents are taken in key order up to the source's word
 budget; budgets beyond the source's size first take complete epochs, then a fraction of one
 more. Nothing is sorted as one whole source: keys fall into ``bins`` ranges, range totals are
-prefix-summed by source, and only inside one range are documents sorted, so a source with a
-third of all rows is dealt like any other.
+prefix-summed by source, and only inside the range that holds the budget's edge are documents
+sorted, after equal ones have been counted together. So a source, or copies of one document,
+may be a third of all rows.
 
 Defined cases: null text has size 0 and is never taken in a fraction; the null source is a
-source of its own and comes last; equal keys (repeated rows) are ordered by id and size; a
-null id has a key of its own; an empty table gives no rows; a total of 0 takes nothing.
+source of its own and comes last; the key reads id and text, so rows that share an id only have
+keys of their own; of rows equal in both, as many are taken as the budget has room for, row by
+row; a null id counts as an empty one; very long texts are counted whole; an empty table gives
+no rows; a total of 0 takes nothing; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ MOST_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 #: More sources than this are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: ASCII digits and signs.
+MARK = r"[!-@\[-`{-~]"
 _HEX = 13  # of md5, so the variate's 52 bits are exact in a double
 
 
@@ -32,10 +37,12 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality_weight(size: str = "size") -> Column:
-    """Longer documents weigh more, from 0.5 up to 1.5."""
+def quality_weight(text: str = "text", size: str = "size") -> Column:
+    """From 0.1 for junk up to 1.1: few digits and signs in the text, and more than a few words."""
     s = F.col(size).cast("double")
-    return F.lit(0.5) + s / (s + F.lit(200.0))
+    chars = F.greatest(F.char_length(F.col(text)), F.lit(1)).cast("double")
+    marks = F.coalesce(F.regexp_count(F.col(text), F.lit(MARK)).cast("double") / chars, F.lit(0.0))
+    return F.lit(0.1) + s / (s + F.lit(20.0)) / (F.lit(1.0) + F.lit(100.0) * marks * marks)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -70,8 +77,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 
 def sampling_key(seed: str = "mix") -> Column:
-    """-ln(u) / quality; u comes from md5 of the seed and the id, so reruns agree."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    """-ln(u) / quality; u comes from md5 of the seed, the id and the text, so reruns agree."""
+    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    digest = F.md5(named.cast("binary"))
     u = (F.conv(F.substring(digest, 1, _HEX), 16, 10).cast("long").cast("double") + 0.5) / float(16**_HEX)
     return -F.log(u) / quality_weight()
 
@@ -92,13 +100,13 @@ def _with_plan(rows: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
     return rows.join(F.broadcast(plan) if sources <= BROADCAST_SOURCES else plan, "skey")
 
 
-def _planned(docs: DataFrame, weights: tuple[int, ...], bins: int, seed: str) -> tuple[DataFrame, DataFrame, int]:
-    sized = _sized(docs.select("doc_id", "source", "text"), bins, seed).drop("text")
+def _planned(sized: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, int, bool]:
+    """The plan, one row for each source; its rows; whether some source takes a part of equal rows."""
     by_bin = stored(sized.groupBy("source", "skey", "bin").agg(F.sum("size").alias("bin_size")))
     by_source = by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
-    plan = targets(by_source, weights)
     plan = (
-        plan.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+        targets(by_source, weights)
+        .withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
         .withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     )
@@ -112,35 +120,61 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], bins: int, seed: str) ->
     )
     plan = stored(plan.join(edge, "skey", "left"))
     sources = plan.count()
-    # documents are ordered only inside the one range that holds the budget's edge
+    # documents are ordered only inside the one range that holds the budget's edge, equal ones as one
     inside = _with_plan(sized, plan.select("source", "skey", "edge_bin", "edge_offset", "rest"), sources).where("bin = edge_bin")
+    alike = inside.groupBy("skey", "key", "doc_id", "size", "edge_offset", "rest").agg(F.count(F.lit(1)).alias("m"))
     order = W.partitionBy("skey").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    room = F.col("rest") - F.col("edge_offset") - F.coalesce(F.sum(F.col("size") * F.col("m")).over(order), F.lit(0)) - F.col("size") / 2
+    fit = F.when(F.col("size") > 0, F.floor(room / F.col("size")) + 1).otherwise(F.col("m"))
     last = (
-        inside.withColumn("before", F.col("edge_offset") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-        .where(F.col("before") + F.col("size") / 2 <= F.col("rest"))
+        alike.withColumn("room", room)
+        .where("room >= 0")
+        .withColumn("r", F.least(fit, F.col("m")).cast("long"))
         .groupBy("skey")
-        .agg(F.max(F.struct("key", "doc_id", "size")).alias("last"))
+        .agg(F.max(F.struct("key", "doc_id", "size", "r", "m")).alias("last"))
     )
-    plan = plan.join(last, "skey", "left")
-    return sized, stored(plan), sources
+    plan = stored(plan.join(last, "skey", "left"))
+    return plan, sources, not plan.where("last.r < last.m").isEmpty()
+
 
+def _taken(rows: DataFrame, plan: DataFrame, sources: int, parted: bool) -> DataFrame:
+    """``rows`` of ``_sized`` with the plan's columns and ``copies``, the whole takes of each row.
 
-def _copies() -> Column:
-    """Whole takes; ``last`` is the last document taken inside the edge's range."""
+    ``last`` is the last document taken inside the edge's range; where only ``r`` of ``m``
+    rows equal to it fit, they are numbered: inside a partition by a window, across partitions by
+    prefix sums of their counts.
+    """
+    joined = _with_plan(rows, plan, sources)
+    mine, last = F.struct("key", "doc_id", "size"), F.struct("last.key", "last.doc_id", "last.size")
+    at_edge = F.coalesce((F.col("bin") == F.col("edge_bin")) & F.col("last").isNotNull(), F.lit(False))
     inside = F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin"))
-    at_edge = (F.col("bin") == F.col("edge_bin")) & F.col("last").isNotNull() & (F.struct("key", "doc_id", "size") <= F.col("last"))
-    part = (F.col("size") > 0) & (F.col("rest") > 0) & (inside | F.coalesce(at_edge, F.lit(False)))
-    return (F.col("full") + F.when(part, 1).otherwise(0)).cast("long")
+
+    def with_copies(df: DataFrame, more: Column) -> DataFrame:
+        part = (F.col("size") > 0) & (F.col("rest") > 0) & F.coalesce(more, F.lit(False))
+        return df.withColumn("copies", (F.col("full") + F.when(part, 1).otherwise(0)).cast("long"))
+
+    if not parted:
+        return with_copies(joined, inside | (at_edge & (mine <= last)))
+    tied = at_edge & (mine == last) & F.coalesce(F.expr("last.r < last.m"), F.lit(False))
+    ties = stored(joined.where(tied).withColumn("pid", F.spark_partition_id()).withColumn("rid", F.monotonically_increasing_id()))
+    counts = ties.groupBy("skey", "pid").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(W.partitionBy("skey").orderBy("pid").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("skey", "pid", F.coalesce(before, F.lit(0)).alias("ahead"))
+    number = F.col("ahead") + F.row_number().over(W.partitionBy("skey", "pid").orderBy("rid"))
+    numbered = ties.join(offsets, ["skey", "pid"]).withColumn("number", number)
+    others = with_copies(joined.where(~tied), inside | (at_edge & (mine <= last)))
+    return others.unionByName(with_copies(numbered, F.col("number") <= F.col("last.r")).select(*others.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, bins: int = 4096, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row.
 
     ``copies`` counts whole takes of the document, complete epochs first. The document at the
-    edge of the budget is taken if at least half of it fits.
+    edge of the budget is taken if at least half of it fits. Texts are read once.
     """
-    sized, plan, sources = _planned(docs, weights, bins, seed)
-    return _with_plan(sized, plan, sources).select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
+    sized = stored(_sized(docs.select("doc_id", "source", "text"), bins, seed).drop("text"))
+    rows = _taken(sized, *_planned(sized, weights))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, bins: int = 4096, seed: str = "mix") -> DataFrame:
@@ -148,8 +182,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, bins: i
 
     Texts stay where they are: the plan, one row for each source, goes to the documents.
     """
-    _, plan, sources = _planned(docs, weights, bins, seed)
+    plan = _planned(stored(_sized(docs.select("doc_id", "source", "text"), bins, seed).drop("text")), weights)
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
-    rows = _with_plan(_sized(base, bins, seed).drop("text"), plan, sources)
-    taken = rows.withColumn("copies", _copies()).where("copies > 0")
+    taken = _taken(_sized(base, bins, seed).drop("text"), *plan).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
