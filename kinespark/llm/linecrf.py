@@ -1,13 +1,25 @@
 """Quality rules with a linear-chain conditional random field over the lines of a text.
 
 Every line that has a word is labelled content or boilerplate by Viterbi decoding; the share
-of word characters on content lines decides whether a document stays. The weights are trained
-by conditional likelihood on a bounded sample of labelled documents (``per_class`` of each
-class): all lines of a good document count as content, all lines of a bad one as boilerplate.
+of word characters on content lines decides whether a document stays.
+
+Lines have no labels of their own, so training infers them. Whatever the document, lines that
+many documents of the corpus share, repeats inside a document, and lines of links or of columns are
+boilerplate. Other lines of good documents are content. Other lines of bad documents are hidden:
+they start as boilerplate; then, twice, those that the model so far takes for content become
+content, the surest first, as long as most of the document stays boilerplate, and the model is
+fitted again. So training texts hold changes of label. The weights maximise the conditional
+likelihood of a bounded sample of labelled documents (``per_class`` of each class), all of whose
+lines are used: long documents in successive segments of ``SEGMENT`` lines.
+
+A line is shared if at least ``SHARED_LEAST`` documents and one in ``SHARED_ONE_IN`` have it. As
+that many documents have each, there are at most ``SHARED_ONE_IN`` times as many shared lines as
+a document has lines on average, so their hashes can be sent to all executors.
 
 Defined cases: null text is the empty text; a text without a word has no line, share 0 and is
-not kept; without labelled documents of both classes every line is content; repeated rows each
-get a row; an empty table gives no rows; other columns of the input are ignored.
+not kept; a tie between labels goes to content; without labelled documents of both classes every
+line is content; very long texts are read whole; repeated rows each get a row, though their lines
+count as shared by as many documents; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +37,20 @@ from .textstats import N_CLASSES, base_counts, base_failed, classes, code_points
 
 _BLANK = " \t\n\x0b\x0c\r"
 _ENDS = ".!?…:;\"'»”)"
-FEATURES = ("bias", "words", "upper", "digits", "symbols", "other", "word_length", "ends", "exclaims", "repeated", "distinct", "pipes", "links", "stutter", "short")
+FEATURES = ("bias", "words", "upper", "digits", "symbols", "other", "word_length", "ends", "exclaims", "repeated", "distinct", "pipes", "links", "stutter", "short", "shared")
+SHARED_LEAST, SHARED_ONE_IN = 25, 400
+SEGMENT = 64
+#: A hidden line whose own log odds are above this may become content.
+HIDDEN_GAIN = 1.0
+NO_LINES = frozenset()
+
+
+def line_hash(line: str) -> int:
+    """As Spark's ``xxhash64``."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
 
 
-def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+def line_features(text: str, shared: frozenset[int] = NO_LINES) -> tuple[np.ndarray, np.ndarray]:
     """(features, word characters) of every line that has a word, in order."""
     lines = text.split("\n")
     points = code_points(text)
@@ -55,6 +78,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         out[row, 12] = "http" in line or "www." in line or "@" in line
         out[row, 13] = sum(a == b for a, b in zip(words, words[1:])) / n
         out[row, 14] = n <= 3
+        out[row, 15] = bool(shared) and line_hash(line) in shared
         seen.add(line)
     out[:, 0] = 1
     out[:, 2] = per[2] / np.maximum(per[1] + per[2], 1)
@@ -70,6 +94,7 @@ class LineCrf:
 
     weights: np.ndarray
     pairs: np.ndarray
+    shared: frozenset[int] = NO_LINES
 
     def viterbi(self, features: np.ndarray) -> np.ndarray:
         """The best label of every line; a tie goes to content."""
@@ -87,13 +112,14 @@ class LineCrf:
             out.append(label)
         return np.array(out[::-1], bool)
 
+    def labelled(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(content, word characters) of every line that has a word."""
+        features, chars = line_features(text or "", self.shared)
+        return self.viterbi(features) if len(features) else np.zeros(0, bool), chars
+
     def content_share(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        features, chars = line_features(text)
-        if not len(features):
-            return 0.0
-        return float(chars[self.viterbi(features)].sum() / chars.sum())
+        content, chars = self.labelled(text)
+        return float(chars[content].sum() / chars.sum()) if len(content) else 0.0
 
 
 def all_content() -> LineCrf:
@@ -125,47 +151,83 @@ def _marginals(gain: np.ndarray, pairs: np.ndarray, inside: np.ndarray) -> tuple
     return p[:, :, 1], two
 
 
-def fit(
-    texts: list[str], good: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3,
-    good_share: float = 0.8, lines: int = 64,
-) -> LineCrf:
-    """Gradient ascent (Adagrad) on the conditional likelihood.
+def _ascend(docs: list[tuple[np.ndarray, np.ndarray]], good: list[int], rounds: int, rate: float, decay: float, good_share: float) -> LineCrf:
+    """Gradient ascent (Adagrad) on the conditional likelihood of (features, labels) of documents.
 
     Every document weighs the same within its class; good ones have ``good_share`` of the
-    weight, as losing content costs more. Of a training text the first ``lines`` lines count.
+    weight, as losing content costs more.
     """
-    docs = [(line_features(t)[0][:lines], y) for t, y in zip(texts, good) if t]
-    docs = [(x, y) for x, y in docs if len(x)]
-    counts = [sum(y == k for _, y in docs) for k in (0, 1)]
-    if not all(counts):
-        return all_content()
-    longest = max(len(x) for x, _ in docs)
-    feats = np.zeros((len(docs), longest, len(FEATURES)))
-    inside = np.zeros((len(docs), longest), bool)
-    share = np.zeros((len(docs), 1))
-    label = np.array([[y] for _, y in docs])
-    for i, (x, y) in enumerate(docs):
-        feats[i, : len(x)], inside[i, : len(x)] = x, True
-        share[i] = (good_share if y else 1 - good_share) / counts[y] / len(x)
+    counts = [sum(y == k for y in good) for k in (0, 1)]
+    cut = [(x[i : i + SEGMENT], t[i : i + SEGMENT], (good_share if y else 1 - good_share) / counts[y] / len(x)) for (x, t), y in zip(docs, good) for i in range(0, len(x), SEGMENT)]
+    longest = max(len(x) for x, _, _ in cut)
+    feats = np.zeros((len(cut), longest, len(FEATURES)))
+    inside, label = np.zeros((len(cut), longest), bool), np.zeros((len(cut), longest), int)
+    share = np.array([[w] for _, _, w in cut])
+    for i, (x, t, _) in enumerate(cut):
+        feats[i, : len(x)], inside[i, : len(x)], label[i, : len(x)] = x, True, t
     linked = inside[:, 1:] * share
+    seen = np.array([[linked[(label[:, :-1] == a) & (label[:, 1:] == b)].sum() for b in (0, 1)] for a in (0, 1)])
     w, pairs = np.zeros(len(FEATURES)), np.zeros((2, 2))
     mw, mp = np.full(len(FEATURES), 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
         p, two = _marginals(feats @ w, pairs, inside)
         gw = np.einsum("nl,nlf->f", (label - p) * inside * share, feats) - decay * w
-        gp = -np.einsum("nl,nlab->ab", linked, two) - decay * pairs
-        for y in (0, 1):
-            gp[y, y] += linked[label[:, 0] == y].sum()
+        gp = seen - np.einsum("nl,nlab->ab", linked, two) - decay * pairs
         mw, mp = mw + gw**2, mp + gp**2
         w, pairs = w + rate * gw / np.sqrt(mw), pairs + rate * gp / np.sqrt(mp)
     return LineCrf(w, pairs)
 
 
+def surely_boilerplate(features: np.ndarray) -> np.ndarray:
+    """Shared lines, repeats, short lines with a link, and lines of columns."""
+    of = {name: features[:, i] for i, name in enumerate(FEATURES)}
+    short = of["words"] * 4 <= np.log1p(12)
+    return (of["shared"] > 0) | (of["repeated"] > 0) | ((of["links"] > 0) & short) | (of["pipes"] > 0.3)
+
+
+def fit(
+    texts: list[str], good: list[int], shared: frozenset[int] = NO_LINES, rounds: int = 200, rate: float = 0.3, decay: float = 1e-4,
+    good_share: float = 0.8, hidden_rounds: int = 2,
+) -> LineCrf:
+    """Fits the weights to whole documents, inferring what is hidden in the bad ones."""
+    read = [(*line_features(t, shared), y) for t, y in zip(texts, good) if t]
+    read = [r for r in read if len(r[0])]
+    classes_ = [y for _, _, y in read]
+    if len(set(classes_)) < 2:
+        return LineCrf(all_content().weights, np.zeros((2, 2)), shared)
+    bad_lines = [surely_boilerplate(x) for x, _, _ in read]
+    labels = [np.where(sure, 0, y) for sure, y in zip(bad_lines, classes_)]
+    model = _ascend([(x, t) for (x, _, _), t in zip(read, labels)], classes_, rounds, rate, decay, good_share)
+    for _ in range(hidden_rounds):
+        for k, (x, chars, y) in enumerate(read):
+            if y:
+                continue
+            gain = x @ model.weights
+            room = chars.sum() / 2
+            labels[k] = np.zeros(len(x), int)
+            for i in np.argsort(-gain, kind="stable"):
+                if gain[i] < HIDDEN_GAIN or chars[i] > room:
+                    break
+                if not bad_lines[k][i]:
+                    labels[k][i] = 1
+                    room -= chars[i]
+        model = _ascend([(x, t) for (x, _, _), t in zip(read, labels)], classes_, rounds, rate, decay, good_share)
+    return LineCrf(model.weights, model.pairs, shared)
+
+
+def shared_lines(documents: DataFrame) -> frozenset[int]:
+    """Hashes of the lines that many documents share; their number is bounded, see above."""
+    least = max(SHARED_LEAST, -(-documents.count() // SHARED_ONE_IN))
+    lines = documents.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("trim(line) != ''")
+    counts = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return frozenset(r.h % (1 << 64) for r in counts.select("h").collect())
+
+
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 300) -> LineCrf:
     """Fits on at most ``per_class`` labelled documents of each class, chosen by a hash."""
     rows = labelled_sample(documents, labels, "quality", per_class, F.lit(True)).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], [r.y for r in rows])
+    return fit([r.text for r in rows], [r.y for r in rows], shared_lines(documents))
 
 
 def apply_rules(docs: DataFrame, crf: LineCrf, least_share: float = 0.5) -> DataFrame:
