@@ -2,16 +2,23 @@
 
 Tokens are lower-cased words and one end for each text. The ``head`` most frequent words are
 symbols of their own; every other word is emitted as one of ``CLASSES`` classes (by its last two
-bytes) and then, by its share of the class, as itself. Baum-Welch runs over all training texts:
-expected counts are computed in each partition over segments of ``SEGMENT`` tokens, summed by
-Spark, and normalised on the driver; their number depends on ``head`` alone. The scaled forward
-recursion then gives the exact log10 likelihood of every whole text. Beside it stands the score
-of additively smoothed word frequencies.
+bytes) and then, by its share of the class, as itself. The head grows with the vocabulary, one
+word in ``HEAD_ONE_IN``, between ``LEAST_HEAD`` and ``MOST_HEAD`` words: the upper bound is that
+of the tables held in memory, of ``MOST_HEAD`` times ``states`` numbers.
+
+Baum-Welch runs over all training texts: expected counts are computed in each partition, summed by
+Spark, and normalised on the driver; their number depends on the head alone. A long text is
+computed in windows of ``CORE`` tokens, each run in over ``RUN_IN`` tokens on both sides, so that
+its messages are those of the whole text but for what such a chain remembers over that distance.
+Rounds end when the likelihood of a token grows by less than ``SETTLED``, at ``rounds`` at the
+latest. The scaled forward recursion then gives the exact log10 likelihood of every whole text.
+Beside it stands the score of additively smoothed word frequencies.
 
 Counts of words outside the head are joined by a shuffle on the word, so nothing that is
-broadcast grows with the corpus.
+broadcast grows with the corpus beyond the bound of the head.
 
-Defined cases: null text is the empty text, which is one end; repeated rows each get a row; a
+Defined cases: null text is the empty text, which is one end; words of equal counts enter the
+head in the order of their bytes; very long texts are read whole; repeated rows each get a row; a
 null id counts as remainder 0, so as held out; an empty table gives no rows; without a training
 text all counts are 0; other columns of the input are ignored.
 """
@@ -27,13 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, word_bytes
+from .common import arrow_map, gathered, map_batches, sliced, stored, word_bytes
 
 CLASSES = 64
-SEGMENT = 64
+CORE, RUN_IN = 512, 64
+LEAST_HEAD, MOST_HEAD, HEAD_ONE_IN = 4096, 32_768, 64
+SETTLED = 1e-3
+#: Window tokens computed at once.
+_STEPS = 1 << 17
 _ADD = 0.1
 _PRIOR = 0.01
 _BATCH = 4096
+_TALLY = 200_000
 LOG10 = np.log(10.0)
 
 
@@ -57,15 +69,15 @@ def word_counts(docs: DataFrame, training: Column) -> DataFrame:
             tally.clear()
             return batch
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for part in (x for batch in batches for x in sliced(batch)):
+            for text in part.column(0).to_pylist():
                 tally.update(word_bytes(text, lower=True))
-                if len(tally) > 500_000:
+                if len(tally) > _TALLY:
                     yield out()
         if tally:
             yield out()
 
-    partial = docs.where(training).select("text").mapInArrow(run, "word binary, c long")
+    partial = arrow_map(docs.where(training).select("text"), run, "word binary, c long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -149,15 +161,18 @@ class Hmm:
             out[part] = total
         return out
 
-    def expected(self, segments: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch counts (start, move, emit) of segments (row by step, padded by ``pad``).
+    def expected(self, windows: np.ndarray, first: np.ndarray, core: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts (start, move, emit) and log likelihood over the core of windows.
 
-        ``first`` marks segments that begin a text; others start from the uniform state.
+        ``windows``: row by step, padded by ``pad``; ``first`` marks windows that begin a text,
+        others start from the uniform state; ``core``: (begin, end) of each row's counted steps.
         """
-        n, steps = segments.shape
+        n, steps = windows.shape
         k = len(self.start)
-        inside = segments != pad
-        e = np.concatenate([self.emit, np.ones((1, k), self.emit.dtype)])[segments.T]  # step, row, state
+        at = np.arange(steps)
+        inside = windows != pad
+        counted = (at >= core[:, :1]) & (at < core[:, 1:])
+        e = np.concatenate([self.emit, np.ones((1, k), self.emit.dtype)])[windows.T]  # step, row, state
         alpha, scale = np.empty((steps, n, k), e.dtype), np.ones((steps, n), e.dtype)
         a = np.where(first[:, None], self.start, np.full(k, 1 / k, e.dtype)).astype(e.dtype) * e[0]
         for t in range(steps):
@@ -173,17 +188,17 @@ class Hmm:
         for t in range(steps - 1, 0, -1):
             eb = e[t] * b / scale[t][:, None]
             live = inside[:, t, None]
-            move += (alpha[t - 1] * live).T @ eb
+            move += (alpha[t - 1] * counted[:, t, None]).T @ eb
             b = np.where(live, eb @ self.move.T, 1.0).astype(e.dtype)
             gamma[t - 1] = alpha[t - 1] * b
         move *= self.move
         emit = np.empty((pad + 1, k))
-        gamma *= inside.T[:, :, None]
-        flat = segments.T.ravel()
+        gamma *= counted.T[:, :, None]
+        flat = windows.T.ravel()
         for j in range(k):
             emit[:, j] = np.bincount(flat, weights=gamma[:, :, j].ravel(), minlength=pad + 1)
         start = (gamma[0] * first[:, None]).sum(0)
-        return start, move, emit[:pad], float(np.log(scale[inside.T]).sum())
+        return start, move, emit[:pad], float(np.log(scale[counted.T]).sum())
 
 
 def first_guess(counts: np.ndarray, states: int, seed: int) -> Hmm:
@@ -194,20 +209,26 @@ def first_guess(counts: np.ndarray, states: int, seed: int) -> Hmm:
     return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def _segments(seqs: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    pieces = [-(-len(s) // SEGMENT) for s in seqs]
-    out = np.full((sum(pieces), SEGMENT), pad, np.int32)
-    first = np.zeros(len(out), bool)
-    at = 0
-    for s, p in zip(seqs, pieces):
-        out[at : at + p].reshape(-1)[: len(s)] = s
-        first[at] = True
-        at += p
-    return out, first
+def _windows(seqs: list[np.ndarray], pad: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows, first, core) of all texts, windows of like length together."""
+    cut = []
+    for s in seqs:
+        for at in range(0, len(s), CORE):
+            lo, hi = max(0, at - RUN_IN), min(len(s), at + CORE + RUN_IN)
+            cut.append((s[lo:hi], at == 0, at - lo, min(at + CORE, len(s)) - lo))
+    cut.sort(key=lambda c: len(c[0]))
+    while cut:
+        take = max(1, _STEPS // len(cut[-1][0]))
+        part, cut = cut[-take:], cut[:-take]
+        out = np.full((len(part), len(part[-1][0])), pad, np.int32)
+        for row, (s, *_) in zip(out, part):
+            row[: len(s)] = s
+        yield out, np.array([c[1] for c in part]), np.array([c[2:] for c in part])
 
 
 def baum_welch(coded: DataFrame, symbols: Symbols, counts: np.ndarray, states: int, rounds: int, seed: int = 7) -> Hmm:
     """``counts``: training tokens by symbol. Every round reads all training sequences."""
+    before = -np.inf
     model = first_guess(counts.astype(float), states, seed)
     pad = symbols.size
     spark = coded.sparkSession
@@ -218,35 +239,36 @@ def baum_welch(coded: DataFrame, symbols: Symbols, counts: np.ndarray, states: i
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.frombuffer(sent.value, "<f4").reshape(-1, states)
             own = Hmm(x[0], x[1 : states + 1], x[states + 1 :])
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((pad, states))
+            start, move, emit, gain = np.zeros(states), np.zeros((states, states)), np.zeros((pad, states)), np.zeros((1, states))
             some = False
-            for batch in batches:
-                col = batch.column(0)
+            for part in (x for batch in batches for x in sliced(batch, 4096, 8 << 20)):
+                col = part.column(0)
                 at, flat = col.offsets.to_numpy(), col.values.to_numpy()
-                texts = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-                if not texts:
-                    continue
-                rows, first = _segments(texts, pad)
-                for lo in range(0, len(rows), 2048):
-                    s, m, e, _ = own.expected(rows[lo : lo + 2048], first[lo : lo + 2048], pad)
+                for rows, first, core in _windows([flat[a:b] for a, b in zip(at[:-1], at[1:])], pad):
+                    s, m, e, g = own.expected(rows, first, core, pad)
                     start, move, emit, some = start + s, move + m, emit + e, True
+                    gain[0, 0] += g
             if some:
-                every = np.concatenate([start[None], move, emit])
-                at = np.flatnonzero(every.sum(1) > 0)
+                every = np.concatenate([start[None], move, emit, gain])
+                at = np.flatnonzero(every.any(1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(at, pa.int32()), *[pa.array(every[at, j]) for j in range(states)]], ["row", *[f"s{j}" for j in range(states)]]
                 )
 
         schema = "row int, " + ", ".join(f"s{j} double" for j in range(states))
-        summed = seqs.mapInArrow(run, schema).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(states)])
+        summed = arrow_map(seqs, run, schema).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(states)])
         got = summed.toArrow()
         sent.destroy()
-        total = np.zeros((1 + states + pad, states))
+        total = np.zeros((2 + states + pad, states))
         if got.num_rows:
             total[got["row"].to_numpy()] = np.stack([got[f"s{j}"].to_numpy() for j in range(states)], 1)
+        gain, total = total[-1, 0] / max(1, counts.sum()), total[:-1]
         start, move, emit = total[0] + _PRIOR, total[1 : states + 1] + _PRIOR, total[states + 1 :]
         emit = emit + _PRIOR * (counts[:, None] + 1) / (counts.sum() + len(counts)) * emit.sum(0) + 1e-6
         model = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        if gain - before < SETTLED:
+            break
+        before = gain
     return model
 
 
@@ -254,12 +276,14 @@ def _log_score(c: Column, total: Column, distinct: Column) -> Column:
     return F.log10((c + _ADD) / (total + _ADD * (distinct + 1)))
 
 
-def score_texts(docs: DataFrame, held_out: Column, states: int = 8, rounds: int = 4, head: int = 8192) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, states: int = 8, rounds: int = 4, head: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark: SparkSession = docs.sparkSession
     counts = stored(word_counts(docs, ~held_out))
     n_ends = docs.where(~held_out).count()
     by_class = counts.groupBy(class_column().alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    if head is None:
+        head = min(MOST_HEAD, max(LEAST_HEAD, sum(r.v for r in by_class) // HEAD_ONE_IN))
     # the head is the model's feature set; the words outside are joined from ``counts``
     top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
     symbols = Symbols([bytes(r.word) for r in top], [r.c for r in top])
@@ -277,21 +301,21 @@ def score_texts(docs: DataFrame, held_out: Column, states: int = 8, rounds: int
     own = np.concatenate([np.log10((symbols.counts + _ADD) / denominator), np.zeros(CLASSES), [np.log10((n_ends + _ADD) / denominator)]])
     known = np.concatenate([np.ones(len(symbols.words), np.int64), np.zeros(CLASSES, np.int64), [int(n_ends > 0)]])
 
-    def forward(batch: pa.RecordBatch) -> pa.RecordBatch:
-        col = batch.column(2)
-        at, flat = col.offsets.to_numpy(), col.values.to_numpy()
-        texts = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-        base = np.array([own[s].sum() for s in texts])
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)),
-                pa.array(np.array([known[s].sum() for s in texts], np.int64)), pa.array(base),
-                pa.array(model.log_likelihoods(texts) / LOG10),
-            ],
-            ["rid", "doc_id", "n_tokens", "n_head", "head_base", "head_score"],
-        )
-
-    scored = map_batches(
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in gathered(batches):  # the longest text of a table decides its steps
+            col = t["seq"].combine_chunks()
+            at, flat = col.offsets.to_numpy(), col.values.to_numpy()
+            texts = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    t["rid"].combine_chunks(), t["doc_id"].combine_chunks(), pa.array(np.diff(at).astype(np.int64)),
+                    pa.array(np.array([known[s].sum() for s in texts], np.int64)), pa.array(np.array([own[s].sum() for s in texts])),
+                    pa.array(model.log_likelihoods(texts) / LOG10),
+                ],
+                ["rid", "doc_id", "n_tokens", "n_head", "head_base", "head_score"],
+            )
+
+    scored = arrow_map(
         coded.select("rid", "doc_id", "seq"), forward, "rid long, doc_id long, n_tokens long, n_head long, head_base double, head_score double"
     )
 
