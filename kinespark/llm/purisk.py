@@ -1,12 +1,22 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled good; unlabelled are documents of the corpus whatever
-their label. The non-negative unbiased risk with the logistic loss is minimised by gradient
-descent, given the class prior estimated from the rows that may be learnt from. Negative labels
-serve for that prior alone. Both samples are bounded by ``sample``.
-
-Defined cases: null text is the empty text; without positives every score is the prior;
-repeated rows each get a row; an empty table gives no rows; other columns are ignored.
+Trusted positives are documents labelled good, at most ``sample`` of them; unlabelled are all
+documents that may be learnt from, whatever their label. No label of a bad document is read.
+Features of all texts are measured once and stored; from then on all passes read these.
+
+With the logistic loss the unbiased risk is convex: the mean of log(1 + e^z) over the
+unlabelled less the class prior times the mean of z over the positives. It is minimised by Newton
+steps whose sums over the unlabelled Spark adds up; a step is halved while it would make the part
+of the risk that stands for the negatives negative, so the minimum is that of the non-negative
+risk. The prior is estimated from the same two sets: a first model, fitted with a prior of one
+half on half of the positives, gives scores; at any threshold the share of the unlabelled above it
+is at least the prior times that of the positives, and the threshold at which this bound is tightest,
+with an allowance for the size of the samples, gives the prior.
+
+Defined cases: null text is the empty text, which has a score like any other; without positives
+every score is the prior of one half; ties play no part; very long texts are measured whole;
+repeated rows each get a row and count as often; of positives that share an id the one with the
+smallest features is taken; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_batches
+from .common import chosen_labels, map_batches
 from .textstats import N_CLASSES, base_counts, classes, code_points
 
 _KNOTS = 6
+N_FEATURES = 17
+#: Allowance of the prior's bound, in deviations of a share among the held-back positives.
+_ALLOW = 1.0
+_BINS = 1000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -74,64 +88,138 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1e-4) -> PuModel:
-    """Minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)); where the bracket falls below
-    zero, its gradient is reversed."""
+def measure(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the features of every row."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = [features(t) for t in batch.column(1).to_pylist()]
+        flat = pa.array(np.concatenate(x))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), flat)], ["doc_id", "x"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x array<double>")
+
+
+def _rows(col: pa.ListArray) -> np.ndarray:
+    return col.flatten().to_numpy().reshape(-1, N_FEATURES)
+
+
+class Unlabelled:
+    """Sums over all unlabelled rows, made by Spark."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("x")
+
+    def knots(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """(quantiles: feature by knot, the last the 99th percentile; minima; rows)."""
+        at = [*np.linspace(0, 1, _KNOTS + 1)[:-1].tolist(), 0.99]
+        x = [F.col("x")[i] for i in range(N_FEATURES)]
+        got = self.rows.agg(F.count(F.lit(1)), *[F.percentile_approx(c, F.array(*[F.lit(a) for a in at]), F.lit(10_000)) for c in x], *[F.min(c) for c in x]).first()
+        if not got[0]:
+            return np.zeros((N_FEATURES, len(at))), np.zeros(N_FEATURES), 0
+        return np.array(got[1 : 1 + N_FEATURES], float), np.array(got[1 + N_FEATURES :], float), got[0]
+
+    def sums(self, model: PuModel) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gradient, Hessian and loss of log(1 + e^z), summed."""
+        k = len(model.weights)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = model.expand(_rows(batch.column(0)))
+            z = np.clip(x @ model.weights, -30, 30)
+            s = 1 / (1 + np.exp(-z))
+            out = np.concatenate([(s @ x)[None], (x * (s * (1 - s))[:, None]).T @ x, np.full((1, k), np.logaddexp(0, z).sum())])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), *[pa.array(out[:, j]) for j in range(k)]], ["row", *[f"s{j}" for j in range(k)]])
+
+        schema = "row int, " + ", ".join(f"s{j} double" for j in range(k))
+        got = map_batches(self.rows, run, schema, rows=8192).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).orderBy("row").toArrow()
+        total = np.stack([got[f"s{j}"].to_numpy() for j in range(k)], 1)
+        return total[0], total[1:-1], float(total[-1, 0])
+
+    def above(self, model: PuModel) -> np.ndarray:
+        """How many rows score at or above each of ``_BINS`` thresholds."""
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = np.bincount((model.score(_rows(batch.column(0))) * _BINS).astype(int).clip(0, _BINS - 1), minlength=_BINS)
+            return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0], pa.int64())], ["bin", "n"])
+
+        out = np.zeros(_BINS)
+        for r in map_batches(self.rows, run, "bin int, n long", rows=8192).groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            out[r.bin] = r.n
+        return out[::-1].cumsum()[::-1]
+
+
+def fit(positive: np.ndarray, unlabelled: Unlabelled, prior: float, rounds: int = 15, decay: float = 1e-4) -> PuModel:
+    """Newton steps on the non-negative unbiased risk."""
     prior = min(max(prior, 0.01), 0.99)
-    if not len(positive) or not len(unlabelled):
+    quantiles, least, n = unlabelled.knots()
+    if not len(positive) or not n:
         return PuModel(np.zeros((0, 0)), np.zeros(0), np.zeros(0), prior)
-    at = np.linspace(0, 1, _KNOTS + 1)[:-1] if len(unlabelled) > 1 else np.zeros(_KNOTS)
-    knots = np.quantile(unlabelled, at, axis=0).T
-    knots[:, 0] = np.minimum(unlabelled.min(0), positive.min(0)) - 1e-9
-    spread = np.quantile(unlabelled, 0.99, axis=0) - knots[:, 0]
-    scale = np.maximum(spread, 1e-3) / 2
-    model = PuModel(knots, scale, np.zeros(1), prior)
-    p, u = model.expand(positive), model.expand(unlabelled)
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+    knots = quantiles[:, :-1].copy()
+    knots[:, 0] = np.minimum(least, positive.min(0)) - 1e-9
+    scale = np.maximum(quantiles[:, -1] - knots[:, 0], 1e-3) / 2
+    model = PuModel(knots, scale, np.zeros(1 + knots.size), prior)
+    p = model.expand(positive)
+    w = np.zeros(p.shape[1])
     w[0] = np.log(prior / (1 - prior))
-    for k in range(1, rounds + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (p, u))
-        # the logistic loss of z as positive is log(1 + e^-z), as negative log(1 + e^z)
-        bracket = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        g_neg = (su @ u) / len(u) - prior * (sp @ p) / len(p)
-        if bracket >= 0:
-            g = g_neg + prior * ((sp - 1) @ p) / len(p)
+    own = np.r_[0, np.full(len(w) - 1, decay)]
+
+    def at(w: np.ndarray):
+        g, h, loss = unlabelled.sums(PuModel(knots, scale, w, prior))
+        z = p @ w
+        negative = loss / n - prior * np.logaddexp(0, z).mean()
+        risk = loss / n - prior * z.mean() + (own * w * w).sum() / 2
+        return g / n - prior * p.mean(0) + own * w, h / n + np.diag(own + 1e-9), negative, risk
+
+    g, h, negative, risk = at(w)
+    for _ in range(rounds):
+        step = np.linalg.solve(h, g)
+        for _ in range(6):
+            g2, h2, negative, risk2 = at(w - step)
+            if negative >= 0 and risk2 <= risk:
+                break
+            step = step / 2
         else:
-            g = -g_neg
-        g = g + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+            break
+        w, g, h, settled, risk = w - step, g2, h2, risk - risk2 < 1e-5, risk2
+        if settled:
+            break
     return PuModel(knots, scale, w, prior)
 
 
-def train(documents: DataFrame, labels: DataFrame, may_learn: Column, sample: int = 3000) -> PuModel:
-    """``may_learn`` (of doc_id) selects the rows that may be learnt from."""
-    seen = labels.where(may_learn & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
-    prior = 0.5 if seen is None else float(seen)
-    good = labels.where("quality = 1")
-    trusted = labelled_sample(documents, good, "quality", sample, may_learn).select("doc_id", "text")
-    everyone = documents.where(may_learn & F.col("doc_id").isNotNull()).select("doc_id", F.lit(1).alias("any"))
-    web = labelled_sample(documents, everyone, "any", sample, F.lit(True)).select("doc_id", "text")
+def estimate_prior(positive: np.ndarray, unlabelled: Unlabelled) -> float:
+    """The tightest bound of the unlabelled share above a threshold over that of the positives."""
+    _, _, n = unlabelled.knots()
+    if len(positive) < 4 or not n:
+        return 0.5
+    model = fit(positive[::2], unlabelled, 0.5)
+    held = np.sort(model.score(positive[1::2]))
+    of_p = 1 - np.searchsorted(held, np.arange(_BINS) / _BINS, side="left") / len(held)
+    of_u = unlabelled.above(model) / n
+    slack = _ALLOW * np.sqrt(np.maximum(of_p * (1 - of_p), 1 / len(held)) / len(held))
+    use = of_p > 0.1
+    return float(np.min((of_u[use] + slack[use]) / of_p[use])) if use.any() else 0.5
 
-    def measured(rows: DataFrame) -> np.ndarray:
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = [features(t).tolist() for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
-
-        got = map_batches(rows.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x array<double>").collect()
-        got.sort(key=lambda r: (r.doc_id, r.x))
-        return np.array([r.x for r in got]) if got else np.zeros((0, len(features(None))))
 
-    return fit(measured(trusted), measured(web), prior)
+def train(rows: DataFrame, labels: DataFrame, may_learn: Column, sample: int = 3000) -> PuModel:
+    """``rows`` of ``measure``, stored; ``may_learn`` (of doc_id) selects those to learn from."""
+    trusted = chosen_labels(labels.where("quality = 1"), "quality", sample, may_learn)
+    got = rows.join(F.broadcast(trusted), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
+    positive = np.array([r.x for r in got]) if got else np.zeros((0, N_FEATURES))
+    web = Unlabelled(rows.where(may_learn))
+    return fit(positive, web, estimate_prior(positive, web))
 
 
-def score_quality(docs: DataFrame, model: PuModel, least: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) for every row."""
+def score_rows(rows: DataFrame, model: PuModel, least: float = 0.7) -> DataFrame:
+    """(doc_id, score, predicted) of measured rows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = model.score(np.array([features(t) for t in batch.column(1).to_pylist()]))
+        scores = model.score(_rows(batch.column(1)))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(scores), pa.array((scores >= least).astype(np.int32))], ["doc_id", "score", "predicted"]
         )
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, "doc_id long, score double, predicted int")
+    return map_batches(rows, run, "doc_id long, score double, predicted int", rows=8192)
+
+
+def score_quality(docs: DataFrame, model: PuModel, least: float = 0.7) -> DataFrame:
+    """(doc_id, score, predicted) for every row of texts."""
+    return score_rows(measure(docs), model, least)
