@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, hilbert, hmm, linecrf, mixing, pieces, pii, purisk, simhash, toxicity
-from .common import crc_mod, map_batches, table
+from .common import arrow_map, crc_mod, map_batches, sliced, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,22 +83,21 @@ def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text: digests of the ids and whether the text came back."""
-    model = pieces.load()
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("original")), model)
-    both = coded.withColumn("kept_ids", F.col("ids"))
-    decoded = pieces.decode(both, model)
-
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column(1)
-        at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4")
-        back = [d == (o or "").replace(pieces.SPACE, " ") for o, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array([_sha(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]), pa.array(back)],
-            ["doc_id", "n_pieces", "ids_sha256", "round_trip"],
-        )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    make = pieces.encoder(docs, pieces.load())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = make()
+        for part in (x for batch in batches for x in sliced(batch)):
+            texts = part.column(1).to_pylist()
+            ids = own.texts(texts)
+            back = [own.table.decode(np.frombuffer(x, "<i4").tolist()) == (t or "").replace(pieces.SPACE, " ") for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([_sha(x) for x in ids]), pa.array(back)],
+                ["doc_id", "n_pieces", "ids_sha256", "round_trip"],
+            )
 
-    rows = decoded.select(F.col("doc_id").cast("long").alias("doc_id"), "kept_ids", "original", "text")
-    return map_batches(rows, digest, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
+    return arrow_map(docs, run, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
 
 
 @query
@@ -110,8 +109,9 @@ def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = purisk.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
-    scored = purisk.score_quality(docs, model)
+    rows = stored(purisk.measure(docs))
+    model = purisk.train(rows, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    scored = purisk.score_rows(rows, model)
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -147,10 +147,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op8_mixing"] = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[!-@\[-`{-~]'))::DOUBLE / greatest(length(coalesce(text, '')), 1) AS marks FROM documents),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0)
-    / (0.5e0 + size::DOUBLE / (size::DOUBLE + 200e0)) AS key FROM d),
+  SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || text), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0)
+    / (0.1e0 + size::DOUBLE / (size::DOUBLE + 20e0) / (1e0 + 100e0 * marks * marks)) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, (1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::DOUBLE AS w, 3e0 * source_size AS cap FROM s),
 f AS (

@@ -260,3 +260,25 @@ def test_mixing_targets_and_budgets(spark):
     assert rows_out.columns == df.columns
     assert rows_out.count() == sum(r.copies for r in out)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("id_", [7, None])
+def test_mixing_takes_equal_rows_one_by_one(spark, id_):
+    """A source of one document many times over gives as many words as its target."""
+    same = " ".join("w" * 100)
+    rows = [(id_, same, "a")] * 1000 + [(i, " ".join("v" * 100), "b") for i in range(1000)]
+    df = docs_of(spark, rows).repartition(5)
+    out = mixing.mix(df).collect()
+    taken = {s: sum(r.size * r.copies for r in out if r.source == s) for s in "ab"}
+    target = {r.source: r.target for r in out}
+    assert target["a"] == pytest.approx(200_000 / 3)
+    assert all(abs(taken[s] - target[s]) <= 100 for s in "ab")
+    assert mixing.mixed_documents(df).where("source = 'a'").count() * 100 == taken["a"]
+
+
+def test_mixing_weighs_by_quality(spark):
+    prose, junk = "plain words that say something to the reader of this text " * 3, "$$ ## 12 %% 99 && ** || 77 <> 31 ## $$ 55 !! ?? 11 22 33 44 55 " * 2
+    rows = [(i, prose if i % 2 else junk, "a") for i in range(600)] + [(1000 + i, prose, "b") for i in range(600)]
+    out = mixing.mix(docs_of(spark, rows)).where("source = 'a'").collect()
+    share = [sum(r.copies for r in out if r.doc_id % 2 == k) for k in (0, 1)]
+    assert share[1] > 2 * share[0] > 0

@@ -69,6 +69,30 @@ def test_line_rules(spark):
     assert linecrf.fit([], []).content_share("a b") == 1
 
 
+def test_lines_inside_a_document_change_label(spark):
+    """Boilerplate planted into good documents is found line by line, and content stays."""
+    rng = random.Random(11)
+    sentence = lambda: " ".join(rng.choice("the tree house river walks slowly under green old stones while people talk".split()) for _ in range(12)).capitalize() + "."
+    shared = ["Subscribe to our newsletter for weekly news and offers today.", "All rights reserved, reprinted with permission of the owner."]
+    junk = lambda: " ".join(rng.choice(["BUY!!", "NOW###", "$$$", "|", "CLICK!!"]) for _ in range(14))
+    rows = []
+    for i in range(120):
+        lines = [sentence() for _ in range(6)]
+        rows.append((i, "\n".join([*lines[:3], shared[i % 2], *lines[3:], shared[(i + 1) % 2]]), 1))
+        rows.append((500 + i, "\n".join([sentence() if k % 4 == 0 else junk() for k in range(8)]), 0))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    assert {linecrf.line_hash(x) for x in shared} == linecrf.shared_lines(docs)
+    crf = linecrf.train(docs, labels)
+    good, _ = crf.labelled(rows[0][1])
+    assert good.tolist() == [True] * 3 + [False] + [True] * 3 + [False]
+    shares = {y: [crf.content_share(t) for _, t, z in rows if z == y] for y in (0, 1)}
+    assert min(shares[1]) > 0.6 > 0.5 > max(shares[0])
+    long = "\n".join([sentence() for _ in range(3000)] + [junk() for _ in range(50)])
+    content, _ = crf.labelled(long)
+    assert content[:3000].mean() > 0.95 and not content[-50:].any()
+
+
 # --- classifiers -----------------------------------------------------------------------------
 
 
@@ -85,10 +109,25 @@ def auc(rows):
 
 
 def test_quality_held_out(spark):
-    rows = held_out(spark, "/root/testdata/sf0.01", lambda d, lab, m: purisk.score_quality(d, purisk.train(d, lab, m)), "quality", 4, 2)
+    rows = held_out(spark, "/root/testdata/sf0.01", lambda d, lab, m: purisk.score_quality(d, purisk.train(purisk.measure(d), lab, m)), "quality", 4, 2)
     assert auc(rows) > 0.95
 
 
+def test_class_prior_needs_no_negatives(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = purisk.measure(docs).cache()
+    true = labels.agg(F.avg("quality")).first()[0]
+    model = purisk.train(rows, labels.where("quality = 1"), F.lit(True))
+    assert model.prior == pytest.approx(true, abs=0.06)
+    x = np.array([r.x for r in rows.collect()])
+    web = purisk.Unlabelled(rows)
+    g, h, loss = web.sums(model)
+    e = model.expand(x)
+    z = e @ model.weights
+    assert loss == pytest.approx(np.logaddexp(0, z).sum(), rel=1e-9)
+    assert np.allclose(g, (1 / (1 + np.exp(-z))) @ e) and h.shape == (len(z := model.weights), len(z))
+
+
 def test_toxicity_held_out(spark):
     rows = held_out(spark, "/root/testdata/sf0.01", lambda d, lab, m: toxicity.score_toxicity(d, toxicity.train(d, lab, m)), "toxic", 5, 0)
     assert auc(rows) > 0.8
@@ -97,7 +136,7 @@ def test_toxicity_held_out(spark):
 def test_classifier_edges(spark):
     docs = docs_of(spark, TEXTS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    q = purisk.score_quality(docs, purisk.train(docs, none, crc_mod("doc_id", 4) != 2)).collect()
+    q = purisk.score_quality(docs, purisk.train(purisk.measure(docs), none, crc_mod("doc_id", 4) != 2)).collect()
     t = toxicity.score_toxicity(docs, toxicity.train(docs, none, crc_mod("doc_id", 5) != 0)).collect()
     assert len(q) == len(t) == len(TEXTS) + 3 and all(0 <= r.score <= 1 for r in q + t) and not any(r.predicted for r in t)
     assert toxicity.drop_toxic(docs, toxicity.ToxicityModel(toxicity.Matcher([], []))).count() == len(TEXTS) + 3
@@ -180,17 +219,37 @@ def test_forward_is_the_sum_over_paths():
         assert got == pytest.approx(math.log(total))
 
 
+def windows_of(seqs, pad):
+    parts = list(hmm._windows(seqs, pad))
+    assert sum((c[:, 1] - c[:, 0]).sum() for _, _, c in parts) == sum(map(len, seqs))
+    return parts
+
+
+def counts_of(model, parts, pad):
+    got = [model.expected(*p, pad) for p in parts]
+    return tuple(sum(g[i] for g in got) for i in range(4))
+
+
 def test_baum_welch_raises_the_likelihood():
     rng = np.random.default_rng(5)
     seqs = [np.array([i % 2 * 2 + rng.integers(0, 2) for i in range(30)]) for _ in range(40)]
-    rows, first = hmm._segments(seqs, 4)
     model, last = hmm.first_guess(np.ones(4), 2, 1), -np.inf
     for _ in range(6):
-        s, m, e, ll = model.expected(rows, first, 4)
+        s, m, e, ll = counts_of(model, windows_of(seqs, 4), 4)
         assert ll >= last - 1e-6 and e.sum() == pytest.approx(1200)
         last, model = ll, hmm.Hmm(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(0))
 
 
+def test_windows_of_a_long_text_count_as_the_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    model = hmm.first_guess(rng.integers(1, 50, 30).astype(float), 4, 3)
+    seqs = [rng.integers(0, 30, n) for n in (1, 511, 512, 513, 5000, 90)]
+    cut = counts_of(model, windows_of(seqs, 30), 30)
+    monkeypatch.setattr(hmm, "CORE", 10_000)
+    for a, b in zip(cut, counts_of(model, windows_of(seqs, 30), 30)):
+        assert np.abs(np.asarray(a) - np.asarray(b)).max() < 1e-6 * max(1, np.abs(b).max())
+
+
 def test_language_model_base_score(spark):
     docs = docs_of(spark, TEXTS)
     out = hmm.score_texts(docs, crc_mod("doc_id", 10) == 0, states=2, rounds=2, head=3).collect()
@@ -230,7 +289,34 @@ def test_relational_viterbi(spark):
     toy = pieces.PieceTable({"a": (0, -1.0), "b": (1, -2.0), "ab": (2, -2.5), "abc": (3, -4.0), "c": (4, -1.5), "bc": (5, -1.2), " a": (6, -1.0)}, list(range(10, 266)), [b""] * 300, "unigram")
     units = ["abc", " abc", "xabcx", "é", "aabbcc", " "]
     got = pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), toy).collect()
-    assert {r.unit: r.ids for r in got} == {u: toy.encode_unit(u) for u in units}
+    spelt = {"xabcx", "é", " "}  # have a character without a piece
+    assert {r.unit: r.ids for r in got} == {u: None if u in spelt else toy.encode_unit(u) for u in units}
+
+
+def test_columnar_lattice_equals_the_merge_loop():
+    table = pieces.load()
+    rng = random.Random(3)
+    units = ["", "\n", " ", " " * 61, "x" * 70, "日本語", "\udce4", *["".join(rng.choice(" abcdeéthinorüß中.😀") for _ in range(rng.randint(1, 64))) for _ in range(400)]]
+    got = pieces.Lattice(table).encode(units)
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == [table.encode_unit(u) if u else [] for u in units]
+
+
+def test_relational_merges_equal_the_merge_loop(spark):
+    table = pieces.load()
+    rng = random.Random(4)
+    units = sorted({"".join(rng.choice(" abcdethinors") for _ in range(rng.randint(1, 20))) for _ in range(60)})
+    got = pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), table).collect()
+    assert {r.unit: r.ids for r in got} == {u: table.encode_unit(u) for u in units}
+
+
+def test_pieces_of_clashing_columns_and_long_texts(spark):
+    table = pieces.load()
+    long = "the word goes on " * 60_000
+    docs = spark.createDataFrame([(1, long, "a", [7]), (2, None, "b", None)], "doc_id long, text string, unit string, ids array<int>")
+    coded = pieces.encode(docs, table, table_units=50)
+    assert coded.columns == ["doc_id", "unit", "ids"]
+    back = {r.doc_id: (r.unit, r.text) for r in pieces.decode(coded, table).collect()}
+    assert back == {1: ("a", long), 2: ("b", "")}
 
 
 # --- pipeline --------------------------------------------------------------------------------
