@@ -133,7 +133,7 @@ def dead_action(df, t):
     return _set(df, t.here, "action", F.transform("action", lambda x: x * 0))
 
 
-@recipe("numeric", "samples", "numeric.outlier_jumps")
+@recipe("numeric", "samples", "temporal.signal_alignment")
 def action_state_swap(df, t):
     both = df.withColumn("_s", F.col("`observation.state`")).withColumn("_a", F.col("action"))
     return _set(_set(both, t.here, "observation.state", F.col("_a")), t.here, "action", F.col("_s")).drop("_s", "_a")
@@ -377,7 +377,7 @@ def video_range_drift(df, t):
 
 @recipe("video", "probes", "video.bitstream", _FRAMES)
 def video_bitflips(df, t):
-    return df.withColumn("decode_errors", F.lit(t.level)).withColumn("first_error_time", F.col("frame_times")[t.middle])
+    return df.withColumn("decode_errors", F.lit(t.level)).withColumn("first_error_time", F.col("frame_times")[t.pos * t.length + t.middle])
 
 
 # --- messages ----------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.series import last_before, numbered
+
 
 def missing_from(wanted: DataFrame, there: DataFrame, on: list[str]) -> DataFrame:
     """Set containment: required files, orphan files, streams, tasks and topics."""
@@ -33,15 +35,32 @@ def declared_totals(declared: DataFrame, stored: DataFrame, key: str, count: str
 
 def valid_boundaries(episodes: DataFrame, pos: str, start: str, end: str, length: str) -> DataFrame:
     """Empty or inconsistent ranges, and ranges that begin before the last known end."""
-    before = F.last(end, ignorenulls=True).over(W.orderBy(pos).rowsBetween(W.unboundedPreceding, -1))
+    ordered = last_before(numbered(episodes, pos, name="_place"), end, "_place", "_before")
     reasons = F.concat_ws(
         "; ",
         F.when(F.col(length) < 1, "empty"),
         F.when(F.col(end) <= F.col(start), "end before start"),
         F.when(F.col(end) - F.col(start) != F.col(length), "length differs"),
-        F.when(F.col(start) < before, "overlaps the last"),
+        F.when(F.col(start) < F.col("_before"), "overlaps the last"),
     )
-    return episodes.select(pos, reasons.alias("reasons")).where("reasons != ''")
+    return ordered.select(pos, reasons.alias("reasons")).where("reasons != ''")
+
+
+def dtype_mismatches(declared: DataFrame, stored: DataFrame) -> DataFrame:
+    """(name, reason) of declared columns (name, type, names) that are absent or stored as another type.
+
+    A stored type fits if it holds one of ``names``, so aliases and wider names of a type pass.
+    """
+    both = declared.join(stored, "name", "left")
+    fits = F.exists("names", lambda x: F.contains(F.col("stored"), x))
+    return both.where(F.col("stored").isNull() | ~fits).select("name", F.when(F.col("stored").isNull(), "missing").otherwise("type").alias("reason"))
+
+
+def task_references(rows: DataFrame, key: str, task: str, known: DataFrame, most: int = 20) -> DataFrame:
+    """(key, unknown): the first ``most`` tasks of each episode that are not known, in order, joined by commas."""
+    used = rows.select(key, task).distinct().join(known.select(task).distinct(), task, "left_anti")
+    first = F.slice(F.sort_array(F.collect_set(task)), 1, most)
+    return used.groupBy(key).agg(F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("unknown"))
 
 
 def index_columns(df: DataFrame, key: str, order: str, index: str, expected: Column | None = None) -> DataFrame:

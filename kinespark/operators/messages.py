@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,6 +66,20 @@ def encoding(channels: DataFrame, channel: str, message: str, schema: str, want:
 
 
 def tf_tree(edges: DataFrame, parent: str, child: str) -> DataFrame:
-    """Frames with more than one parent."""
-    fine = edges.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(child))).select(parent, child).distinct()
-    return fine.groupBy(child).agg(F.count(F.lit(1)).alias("parents")).where("parents > 1")
+    """(child, parents): frames with more than one parent, joined by commas; empty names do not count."""
+    p, c = F.col(parent).cast("string"), F.col(child).cast("string")
+    fine = edges.where((p != "") & (c != "") & (p != c)).select(parent, child).distinct()
+    per = fine.groupBy(child).agg(F.sort_array(F.collect_set(parent)).alias("_p")).where(F.size("_p") > 1)
+    return per.select(child, F.array_join(F.transform("_p", lambda x: x.cast("string")), ",").alias("parents"))
+
+
+def joint_errors(m: DataFrame, channel: str, order: str, names: str, fields: list[str]) -> DataFrame:
+    """(channel, row_pos, error): fields of joint states of another size than the names, or not finite."""
+    def wrong(f: str) -> list[Column]:
+        v = F.col(f).cast("array<double>")
+        size = F.when((F.size(v) > 0) & (F.size(v) != F.size(names)), F.concat(F.lit(f"{f} has "), F.size(v), F.lit(" values but name has "), F.size(names), F.lit(" entries")))
+        odd = F.when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(f"JointState {f} contains a non-finite value"))
+        return [size, odd]
+
+    errors = F.filter(F.array(*[e for f in fields for e in wrong(f)]), lambda e: e.isNotNull())
+    return m.select(channel, row_pos(channel, order).alias("row_pos"), errors.alias("_e")).select(channel, "row_pos", F.explode("_e").alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,9 +36,12 @@ def max_gap(df: DataFrame, key: str, order: str, t: str, limit: float) -> DataFr
 def stream_overlap(df: DataFrame, key: str, order: str, streams: list[str]) -> DataFrame:
     """Rows in which a required stream is missing: null or empty, not NaN."""
     rows = df.select(key, row_pos(key, order).alias("row_pos"), *streams)
-    missing = F.filter(
-        F.array(*[F.when(F.col(s).isNull() | (F.length(F.col(s).cast("string")) == 0), F.lit(s)) for s in streams]), lambda x: x.isNotNull()
-    )
+
+    def empty(s: str) -> Column:
+        kind = df.schema[s].dataType.typeName()
+        return F.size(s) == 0 if kind in ("array", "map") else F.length(s) == 0 if kind in ("string", "binary") else F.lit(False)
+
+    missing = F.filter(F.array(*[F.when(F.col(s).isNull() | empty(s), F.lit(s)) for s in streams]), lambda x: x.isNotNull())
     return rows.select(key, "row_pos", F.explode(missing).alias("stream"))
 
 
@@ -51,7 +54,8 @@ def delay(df: DataFrame, key: str, order: str, first: str, second: str, limit: f
 def episode_start(df: DataFrame, key: str, order: str, t: str, limit: float) -> DataFrame:
     """Episodes whose first time is off the median first time by more than the limit."""
     first = df.groupBy(key).agg(F.min_by(t, order).cast("double").alias("first"))
-    return first.withColumn("usual", F.median("first").over(W.partitionBy())).where(F.abs(F.col("first") - F.col("usual")) > limit)
+    usual = first.agg(F.median("first").alias("usual"))
+    return first.crossJoin(F.broadcast(usual)).where(F.abs(F.col("first") - F.col("usual")) > limit)  # one row of usual
 
 
 def clock_drift(df: DataFrame, key: str, order: str, t: str, interval: float, most: float = 1.0) -> DataFrame:
@@ -82,6 +86,6 @@ def signal_alignment(df: DataFrame, key: str, order: str, action: str, state: st
     )
     spread = F.sqrt(F.greatest((F.col("aa") - F.col("ma") ** 2) * (F.col("ss") - F.col("ms") ** 2), F.lit(0.0)))
     strength = F.try_divide(F.col("as") - F.col("ma") * F.col("ms"), spread)
-    best = m.select(key, "lag", strength.alias("strength")).where("strength IS NOT NULL")
+    best = m.select(key, "lag", F.round(strength, 8).alias("strength")).where("strength IS NOT NULL")  # so that rounding decides no tie
     top = best.groupBy(key).agg(F.max(F.struct("strength", -F.abs("lag"), "lag")).alias("b"))
     return top.select(key, F.col("b.lag").alias("lag"), F.col("b.strength").alias("strength"))

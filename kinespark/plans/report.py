@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 RANKS = {"critical": 3, "error": 2, "warning": 1, "notice": 0}
 
 
-def findings(rows: DataFrame, rule: str, severity: str, episode: str, sample: str | None, observed: list[str]) -> DataFrame:
-    """(rule_id, severity, episode, sample_index, observed, fingerprint)."""
+def findings(rows: DataFrame, rule: str, severity: str, episode: str, sample: str | None, observed: list[str], stream: str = "", expected: str = "") -> DataFrame:
+    """(rule_id, severity, episode, sample_index, observed, fingerprint).
+
+    The fingerprint names rule, place, stream and both values, as JSON, so no two of them run together.
+    """
     at = F.col(sample).cast("long") if sample else F.lit(None).cast("long")
     seen = F.to_json(F.struct(*observed))
     out = rows.select(
         F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.col(episode).cast("string").alias("episode"), at.alias("sample_index"), seen.alias("observed")
     )
-    mark = F.concat_ws("|", "rule_id", "episode", F.coalesce(F.col("sample_index").cast("string"), F.lit("")))
+    mark = F.to_json(F.array("rule_id", "episode", F.lit(stream), F.col("sample_index").cast("string"), "observed", F.lit(expected)))
     return out.withColumn("fingerprint", F.sha2(mark, 256))
 
 
 def capped(found: DataFrame, most: int = 50) -> DataFrame:
     """The first ``most`` findings of each rule, a feature of reports, with how many there were."""
-    w = W.partitionBy("rule_id")
-    ordered = w.orderBy("episode", F.col("sample_index").asc_nulls_first(), "fingerprint")
-    return found.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= most).drop("n")
+    ordered = W.partitionBy("rule_id").orderBy("episode", F.col("sample_index").asc_nulls_first(), "fingerprint")
+    first = found.withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= most).drop("n")  # cut before the shuffle, too
+    return first.join(F.broadcast(found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("total"))), "rule_id")
 
 
 def suppressed(found: DataFrame, baseline: DataFrame, today: datetime.date) -> DataFrame:

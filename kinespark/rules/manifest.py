@@ -33,7 +33,7 @@ def required_files(rec, o):
     Restore the missing files, or finish the recording."""
     meta = ["meta/info.json", "meta/episodes.jsonl" if rec.format_version in ("v2.0", "v2.1") else "meta/episodes"]
     wanted = referenced(rec).union(listed(rec, meta))
-    there = [f.path for f in rec.store.files()] + [m for m in meta if rec.store.exists(m)]
+    there = [f.path for f in [*rec.files, *rec.store.files("videos")]] + [m for m in meta if rec.store.exists(m)]
     missing = missing_from(wanted, listed(rec, there), ["source"])
     return Found(missing.select("source", text("Required file is missing: {}", "source").alias("message"), F.lit("missing").alias("observed")), ("source",), "file or directory exists")
 
@@ -182,6 +182,6 @@ def orphan_files(rec, o):
     """Files that no episode names can mean that episodes were lost from the metadata.
 
     Restore the episodes' metadata, or remove what is left over."""
-    stored = listed(rec, [f.path for f in [*rec.store.files("data", ".parquet"), *rec.store.files("videos", ".mp4")]])
+    stored = listed(rec, [f.path for f in [*rec.files, *rec.store.files("videos", ".mp4")]])
     rows = missing_from(stored, referenced(rec), ["source"])
     return Found(rows.select("source", text("No episode names the stored file {}", "source").alias("message"), F.lit("unreferenced").alias("observed")), ("source",), "referenced by at least one episode")
