@@ -8,6 +8,7 @@ import json
 import math
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -24,6 +25,8 @@ from .rules.base import LOCATION, RANKS
 from .sources.recording import Recording
 
 VERSION = "0.2.0"
+#: Rules that run at once, each a few jobs; results keep the order of the plan.
+SIDE_BY_SIDE = 6
 FINDINGS = """rule_id string, rule_version string, severity string, message string, episode string, stream string, sample_index long, timestamp double,
     source string, observed string, expected string"""
 
@@ -226,13 +229,17 @@ def run(recording: Recording, config: configs.Config | None = None, extra: tuple
     began = clock()
     added = tuple(extra) + tuple(plugins.load(config.plugins, config_plugins))
     digest, method = source_fingerprint(recording.store)
-    cache, results = Cache(config.cache, recording.store.root, digest), []
-    for p in plan(recording, config, added):
+    cache = Cache(config.cache, recording.store.root, digest)
+
+    def one(p: Planned) -> dict[str, Any]:
         result = cache.get(p)
         if result is None:
             result = run_rule(recording, p)
             cache.put(p, result)
-        results.append(result)
+        return result
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:  # rules wait for Spark most of the time
+        results = list(pool.map(one, plan(recording, config, added)))
     return {
         "schema_version": "1.0", "engine_version": VERSION, "adapter": recording.adapter, "adapter_version": recording.format_version.removeprefix("v"), "dataset": recording.name,
         "source_revision": recording.revision, "dataset_path": recording.store.root, "source_fingerprint": digest, "source_fingerprint_method": method,

@@ -6,6 +6,7 @@ import json
 import math
 import re
 import string
+import threading
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -230,12 +231,13 @@ class _Lazy(dict):
 
     def __init__(self, spark: SparkSession, files: list):
         super().__init__()
-        self._load = lambda: self.update(read_footers(spark, files))
+        self._load, self._lock = lambda: self.update(read_footers(spark, files)), threading.Lock()
 
     def _loaded(self) -> None:
-        if self._load:
-            load, self._load = self._load, None
-            load()
+        with self._lock:
+            if self._load:
+                self._load()
+                self._load = None
 
     def items(self):
         self._loaded()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -59,6 +60,7 @@ class Recording:
     probes: DataFrame | None = None
     _samples: DataFrame | None = None
     _kept: list[DataFrame] = field(default_factory=list)
+    _lock: Any = field(default_factory=threading.RLock, repr=False, compare=False)  # rules run side by side
 
     # --- streams ---------------------------------------------------------------------------
 
@@ -94,37 +96,41 @@ class Recording:
         A row belongs to an episode if it lies in the file that the episode's metadata names and
         carries its index; ``row_pos`` counts stored rows, in the order of the file.
         """
-        if self._samples is None:
-            if missing := self.missing_files():
-                raise SourceError(f"data files are missing: {', '.join(missing)}")
-            groups: dict[tuple, list[str]] = {}
-            uris = {f.path: f.uri for f in self.files}
-            for path, columns in self.footers.items():
-                groups.setdefault(tuple(sorted(columns.items())), []).append(path)
-            parts = []
-            for columns, paths in groups.items():
-                part = self.spark.read.parquet(*[uris[p] for p in paths])
-                keep = [c for c in part.columns if c not in ("pos", "episode", "source", "row_pos")]
-                parts.append(part.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_uri"), F.col("_metadata.row_index").alias("_row"), *[F.col(f"`{c}`") for c in keep]))
-            if not parts:
-                raise SourceError("there are no data files")
-            rows = parts[0]
-            for part in parts[1:]:
-                rows = rows.unionByName(part, allowMissingColumns=True)
-            names = self.spark.createDataFrame([(re.sub("^file:/+", "file:/", uris[p]), p) for p in self.footers], "_uri string, source string")
-            rows = rows.join(F.broadcast(names), "_uri").drop("_uri")
-            of = self.episodes.select("pos", "episode", F.col("data_file").alias("source"), F.col("index").alias("_index"), F.col("from_index").alias("_from"), F.col("to_index").alias("_to"))
-            if "episode_index" in rows.columns:
-                rows = rows.join(of, (rows.source == of.source) & (rows.episode_index == of._index))
-            elif "index" in rows.columns:
-                ranged = of._from.isNull() | of._to.isNull() | ((rows["index"] >= of._from) & (rows["index"] < of._to))
-                rows = rows.join(of, (rows.source == of.source) & ranged)
-            else:
-                raise SourceError("samples have neither episode_index nor index")
-            rows = rows.drop(of.source).drop("_index", "_from", "_to")
-            place = F.row_number().over(W.partitionBy("pos").orderBy("_row")) - 1
-            self._samples = self.keep(rows.withColumn("row_pos", place.cast("long")).drop("_row"))
-        return self._samples
+        with self._lock:
+            if self._samples is None:
+                self._samples = self.keep(self._read_samples())
+            return self._samples
+
+    def _read_samples(self) -> DataFrame:
+        if missing := self.missing_files():
+            raise SourceError(f"data files are missing: {', '.join(missing)}")
+        groups: dict[tuple, list[str]] = {}
+        uris = {f.path: f.uri for f in self.files}
+        for path, columns in self.footers.items():
+            groups.setdefault(tuple(sorted(columns.items())), []).append(path)
+        parts = []
+        for columns, paths in groups.items():
+            part = self.spark.read.parquet(*[uris[p] for p in paths])
+            keep = [c for c in part.columns if c not in ("pos", "episode", "source", "row_pos")]
+            parts.append(part.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_uri"), F.col("_metadata.row_index").alias("_row"), *[F.col(f"`{c}`") for c in keep]))
+        if not parts:
+            raise SourceError("there are no data files")
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part, allowMissingColumns=True)
+        names = self.spark.createDataFrame([(re.sub("^file:/+", "file:/", uris[p]), p) for p in self.footers], "_uri string, source string")
+        rows = rows.join(F.broadcast(names), "_uri").drop("_uri")
+        of = self.episodes.select("pos", "episode", F.col("data_file").alias("source"), F.col("index").alias("_index"), F.col("from_index").alias("_from"), F.col("to_index").alias("_to"))
+        if "episode_index" in rows.columns:
+            rows = rows.join(of, (rows.source == of.source) & (rows.episode_index == of._index))
+        elif "index" in rows.columns:
+            ranged = of._from.isNull() | of._to.isNull() | ((rows["index"] >= of._from) & (rows["index"] < of._to))
+            rows = rows.join(of, (rows.source == of.source) & ranged)
+        else:
+            raise SourceError("samples have neither episode_index nor index")
+        rows = rows.drop(of.source).drop("_index", "_from", "_to")
+        place = F.row_number().over(W.partitionBy("pos").orderBy("_row")) - 1
+        return rows.withColumn("row_pos", place.cast("long")).drop("_row")
 
     def stored_in(self, *columns: str) -> Column:
         """Of a sample: whether its file stores all of these columns."""
@@ -162,11 +168,12 @@ class Recording:
 
     def frames(self) -> DataFrame:
         """Statistics of all decoded frames, with the columns of FRAMES."""
-        if self.frames_table is None:
-            from .video import decoded
+        with self._lock:
+            if self.frames_table is None:
+                from .video import decoded
 
-            self.frames_table = self.keep(decoded(self))
-        return self.frames_table
+                self.frames_table = self.keep(decoded(self))
+            return self.frames_table
 
     # --- lifetime --------------------------------------------------------------------------
 

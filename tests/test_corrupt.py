@@ -65,6 +65,15 @@ def result(rec, rule):
 
 #: Changes that statistics alone hardly show; they are applied, but nothing is asked of the rule.
 WEAK = {"action_state_swap", "reversed_episode"}
+_CLEAN: dict[tuple[int, str], str] = {}
+
+
+def clean_status(rec, rule):
+    if (id(rec), rule) not in _CLEAN:
+        _CLEAN[id(rec), rule] = result(rec, rule)["status"]
+    return _CLEAN[id(rec), rule]
+
+
 TABLES = [n for n, r in RECIPES.items() if r.rule and r.table != "bytes" and r.needs != ("two cameras",)]
 
 
@@ -75,7 +84,7 @@ def test_recipe_is_found(scene, joints, name):
     target = Target(3, 200 if rec is joints else N, 3, other=1)
     got = result(apply_recipe(rec, name, target), recipe.rule)
     assert got["status"] in ("failed", "errored") or name in WEAK, got["reason"]
-    assert result(rec, recipe.rule)["status"] == "passed"
+    assert clean_status(rec, recipe.rule) == "passed"
     if rec is scene and name not in WEAK and recipe.category in ("numeric", "temporal", "video") and name not in ("episode_label_bleed",):
         assert "episode_000003" in {f["location"]["episode"] for f in got["findings"]}
 
