@@ -30,6 +30,8 @@ from .common import arrow_map, map_batches, stored, whole_groups, word_bytes
 
 SEED = 42
 BITS = 64
+#: Up to so many edges are joined in one task, which holds 16 bytes for each; more by rounds of joins.
+TASK_EDGES = 1 << 19
 _STEP = 1 << 15
 
 
@@ -159,12 +161,38 @@ def links(nodes: DataFrame, radius: int = 3, bucket_rows: int = 2048) -> DataFra
     return edges.distinct()
 
 
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of all nodes of the edges but the roots themselves."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    child = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[child], nodes[root[child]]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        node, root = smallest_reachable(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): root is the smallest node reachable; nodes without an edge are left out.
+    """(node, root): root is the smallest node reachable; roots and nodes without an edge are left out.
 
-    Alternating large-star and small-star steps, each written to the shared folder.
+    Few edges are joined in one task. More take alternating large-star and small-star steps, each written
+    to the shared folder: every step is several jobs, whose plans and figures the driver keeps.
     """
     e = stored(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct())
+    if e.count() <= TASK_EDGES:
+        return stored(arrow_map(e.coalesce(1), _joined, "node long, root long"))
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
