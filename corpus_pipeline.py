@@ -31,9 +31,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id.
 
-    Groups join texts of a Jaccard similarity of 0.8 or more on five-word shingles.
+    SimHash fingerprints that covering masks bring within 3 bits give the first candidates. Whole sets
+    of five-word shingles decide: groups join texts of a Jaccard similarity of 0.8 or more, and a prefix
+    filter finds those whose fingerprints lie further apart.
     """
-    return nearcopies.keep_one(docs, shingle=5, least=(4, 5))
+    return nearcopies.keep_one(docs, shingle=5, least=(4, 5), radius=3)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Near copies by word shingles: every pair of a Jaccard similarity of at least ``least``.
 
+Fingerprints that lie within ``radius`` bits are found by covering masks (``simhash.links``) and lead
+to the first candidates. Few differing bits promise no similarity, nor does similarity promise few
+differing bits, so shingle sets decide, and a prefix filter finds the pairs that are left.
+
 A text's shingles, without repeats, are put in one order that all texts share, the rarest
 first. Two sets of the wanted similarity share a shingle among the first
 ``n - ceil(least * n) + 1`` of each (prefix filter), so texts are dealt by these shingles alone
@@ -10,7 +14,7 @@ which differ in no more bits than the sets differ in shingles, drop most candida
 inside the bucket, so that it gives no pair that they rule out, then long ones. Whole shingle sets
 decide. Candidates that hang together meet in one task, where each set goes once; what hangs
 together in larger clusters is joined pair by pair. Equal sets are one node. A bucket first gives
-pairs that make a forest, fewer than it has nodes. Then it gives a few possible pairs for any two
+pairs that make a forest, fewer than it has nodes, of nodes that fingerprints have not linked. Then it gives a few possible pairs for any two
 groups not linked by then, and at last, where these did not link them, all.
 
 Defined cases: texts without a word are copies of each other; a text of fewer words than
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, map_batches, scratch, stored, whole_groups
-from .simhash import components, shingle_hashes
+from .simhash import components, fingerprint_of, links, shingle_hashes
 
 #: Similarity as numerator and denominator, so that no rounding decides.
 LEAST = (4, 5)
+#: Fingerprints that differ in so many bits are linked; twice as many masks for each bit more.
+RADIUS = 3
 #: The sample that orders shingles: one row in so many, but not fewer rows than that; and the most
 #: shingles it names.
 SAMPLE_ONE_IN, SAMPLE_ROWS = 16, 4_000
@@ -53,7 +59,11 @@ _SKETCH = 1024
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Hashes of the text's shingles, sorted, each once."""
-    return np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64)).view(np.int64)
+    return _set_of(np.array(shingle_hashes(text, shingle), dtype="<u8"))
+
+
+def _set_of(packed: np.ndarray) -> np.ndarray:
+    return np.unique(packed).view(np.int64)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -104,14 +114,16 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_prefix(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """(row, doc_id, node, n, prefix, sketch, brief): node stands for the set, n is its size."""
+    """(row, doc_id, node, n, prefix, sketch, brief, fp): node stands for the set, n is its size."""
     hashes, counts = _common(docs, shingle)
     p, q = least
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, prefixes, sketches, briefs = [], [], [], [], []
+        nodes, sizes, prefixes, sketches, briefs, fps = [], [], [], [], [], []
         for text in batch.column(2).to_pylist():
-            have = shingle_set(text, shingle)
+            packed = np.array(shingle_hashes(text, shingle), dtype="<u8")
+            fps.append(fingerprint_of(packed))
+            have = _set_of(packed)
             n = len(have)
             seen = np.zeros(n, np.int64)
             if len(hashes) and n:
@@ -126,12 +138,29 @@ def _with_prefix(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataF
             [
                 batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(briefs, pa.binary()),
+                pa.array(np.array(fps, np.uint64).view(np.int64)),
             ],
-            ["row", "doc_id", "node", "n", "prefix", "sketch", "brief"],
+            ["row", "doc_id", "node", "n", "prefix", "sketch", "brief", "fp"],
         )
 
     columns = docs.select("row", F.col("doc_id").cast("long"), "text")
-    return map_batches(columns, run, "row long, doc_id long, node long, n long, prefix array<long>, sketch binary, brief binary")
+    return map_batches(columns, run, "row long, doc_id long, node long, n long, prefix array<long>, sketch binary, brief binary, fp long")
+
+
+def by_fingerprint(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of rows (node, fp): the pairs to which fingerprints within the radius lead.
+
+    Nodes of one fingerprint go with the smallest of them, and these with each other along the links
+    that covering masks find.
+    """
+    with scratch(rows.sparkSession):
+        of = stored(rows.select("fp", "node").distinct())
+        first = stored(of.groupBy("fp").agg(F.min("node").alias("a")))
+        near = links(first.select("fp"), radius)
+        near = near.join(first.select(F.col("fp").alias("src"), "a"), "src").join(first.select(F.col("fp").alias("dst"), F.col("a").alias("b")), "dst")
+        same = of.join(first, "fp").select("a", F.col("node").alias("b"))
+        both = near.select("a", "b").unionByName(same).where("a != b")
+        return stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), apart=True)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,17 +199,22 @@ class _Buckets:
         ok = (p + q) * apart_ <= (q - p) * (self.n[i] + self.n[j])
         return i[ok], j[ok]
 
-    def forest(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Possible pairs of the bucket [a, b), fewer than it has nodes."""
+    def forest(self, a: int, b: int, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Possible pairs of the bucket [a, b), fewer than it has nodes, without those of one root."""
+
+        def fresh(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            new = root[i] != root[j]
+            return i[new], j[new]
+
         todo = np.arange(a, b)
         for _ in range(PIVOTS):
             if len(todo) < 2:
                 return
             i, todo = todo[:1], todo[1:]
             pairs = self.possible(np.repeat(i, len(todo)), todo)
-            yield pairs
+            yield fresh(*pairs)
             todo = np.setdiff1d(todo, pairs[1], assume_unique=True)
-        yield self.possible(todo[:-1], todo[1:])
+        yield fresh(*self.possible(todo[:-1], todo[1:]))
 
     def across(self, a: int, b: int, root: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Possible pairs of the bucket whose nodes have different roots, ``most`` for two roots.
@@ -219,7 +253,7 @@ def _candidates(least: tuple[int, int], across: bool = False, most: int | None =
     """Arrow map over whole buckets (key, n, node, at, brief, root) sorted by key, n, node.
 
     Gives (a, b, more): possible pairs, or with ``more`` two roots of which pairs were kept back.
-    ``across``: pairs of different roots; else a forest of each bucket's pairs.
+    ``across``: pairs of different roots; else those of a forest of each bucket's pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +275,7 @@ def _candidates(least: tuple[int, int], across: bool = False, most: int | None =
             for a, b in zip(starts[:-1][size > 2].tolist(), starts[1:][size > 2].tolist()):
                 if (root[a:b] == root[a]).all():
                     continue
-                for pairs in buckets.across(a, b, root, most) if across else buckets.forest(a, b):
+                for pairs in buckets.across(a, b, root, most) if across else buckets.forest(a, b, root):
                     held.append(pairs)
                     rows += len(pairs[0])
                     if rows >= _PAIRS:
@@ -320,9 +354,10 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, radius: int = RADIUS) -> DataFrame:
     """(row, doc_id, root) of every row of ``docs`` (row, doc_id, text), which must be stored."""
     rows = stored(_with_prefix(docs, shingle, least))
+    near = by_fingerprint(rows, radius)
     one = F.min(F.struct("row", "n", "prefix")).alias("s")
     nodes = rows.groupBy("node").agg(one).select("node", "s.n", "s.prefix")
     keyed = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "n", "node", "at")
@@ -361,16 +396,18 @@ def groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) ->
     def candidates(found: DataFrame, *how) -> DataFrame:
         return stored(arrow_map(_by_key(rooted(found)), _candidates(least, *how), "a long, b long, more boolean").distinct())
 
-    none = rows.select("node", F.col("node").alias("root")).limit(0)
-    tested = stored(_possible(candidates(none).select("a", "b"), likely, least))
-    links = checked(tested)
-    found = components(links)
-    for most in (PER_GROUPS, None):
-        given = candidates(found, True, most)
+    # similar sets share a bucket, so pairs of other nodes go here
+    tested = stored(_possible(near, likely, least))
+    linked = checked(tested)
+    found = components(linked)
+    for how in ((), (True, PER_GROUPS), (True, None)):
+        given = candidates(found, *how)
         new = stored(_possible(given.where("NOT more").select("a", "b").join(tested, ["a", "b"], "left_anti"), likely, least))
         if not new.isEmpty():
-            links, tested = links.unionByName(checked(new)), tested.unionByName(new)
-            found = components(links)
+            linked, tested = linked.unionByName(checked(new)), tested.unionByName(new)
+            found = components(linked)
+        if not how:
+            continue
         a, b = found.select(F.col("node").alias("a"), F.col("root").alias("r")), found.select(F.col("node").alias("b"), F.col("root").alias("s"))
         back = given.where("more").join(a, "a", "left").join(b, "b", "left")
         if back.where(F.coalesce("r", "a") != F.coalesce("s", "b")).isEmpty():
@@ -378,7 +415,7 @@ def groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) ->
     return rows.join(found, rows.node == found.node, "left").select("row", "doc_id", F.coalesce("root", rows.node).alias("root"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near copies.
 
     The row with the smallest id stays, a row without an id only where none has one; each row
@@ -387,7 +424,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("whole")))
     with scratch(docs.sparkSession):
-        found = stored(groups(rows.select("row", "whole.doc_id", "whole.text"), shingle, least))
+        found = stored(groups(rows.select("row", "whole.doc_id", "whole.text"), shingle, least, radius))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
         winners = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("row"))
         losers = stored(found.select("row").join(winners, "row", "left_anti"), apart=True)

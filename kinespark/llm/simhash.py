@@ -51,10 +51,11 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    hashes = shingle_hashes(text, shingle)
-    if not hashes:
-        return 0
-    packed = np.array(hashes, dtype="<u8")
+    return fingerprint_of(np.array(shingle_hashes(text, shingle), dtype="<u8"))
+
+
+def fingerprint_of(packed: np.ndarray) -> int:
+    """Of the hashes of a text's shingles, repeats included."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(packed), _STEP):
         part = packed[at : at + _STEP]
